@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladescope.llm import source_mixing
+from cladescope.llm import id_shards, piece_codec, source_mixing
 from cladescope.llm.common import read_table
 
 
@@ -15,8 +15,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the package is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = id_shards.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return id_shards.read_shards(shards)
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_source_mixing": op7_source_mixing}
+    return {"op7_source_mixing": op7_source_mixing, "op8_id_shards": op8_id_shards, "op9_piece_codec": op9_piece_codec}
 
 
 def oracle_sql() -> dict[str, str]:
