@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladescope.llm import id_shards, piece_codec, source_mixing
+from cladescope.llm import id_shards, language_mixture, piece_codec, secret_ownership, source_mixing, toxic_segments
 from cladescope.llm.common import read_table
 
 
@@ -15,6 +15,15 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_mixture.predict(docs, language_mixture.learn(docs))
+
+
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ownership.digests(secret_ownership.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file; the package is installed on every executor."""
     import public_tokenizers
@@ -31,8 +40,20 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxic_segments.score(docs, toxic_segments.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_source_mixing": op7_source_mixing, "op8_id_shards": op8_id_shards, "op9_piece_codec": op9_piece_codec}
+    return {
+        "op1_language_mixture": op1_language_mixture,
+        "op2_secret_ownership": op2_secret_ownership,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_id_shards": op8_id_shards,
+        "op9_piece_codec": op9_piece_codec,
+        "op10_toxic_segments": op10_toxic_segments,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
