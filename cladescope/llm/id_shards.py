@@ -21,8 +21,11 @@ text longer than a shard's share makes a shard of its own.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 from cladescope.llm.common import materialize
 
 #: Ids after which a shard is closed, and pieces that a process keeps encoded.
-SHARD_IDS, CACHE = 1 << 18, 1 << 19
+SHARD_IDS, CACHE = 1 << 18, 400_000
 #: Set bits between two entries of the select directory.
 STEP = 256
 HEADER = struct.Struct("<4sIQQB3xII")  # magic, version, documents, ids, low bits, bytes of low bits, bytes of high bits
+# Fixed value: the pre-tokeniser's pattern, for ASCII.
+_MATCH = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
 MAGIC, VERSION = b"EFID", 1
 
 
@@ -115,15 +120,25 @@ class Shard:
         return np.frombuffer(self.ids[4 * begin : 4 * self.ends.select(k)], "<u4")
 
 
-class PieceEncoder:
-    """Bytes of ids of whole texts, piece by piece through the library."""
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest follow from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class PieceEncoder(dict):
+    """piece -> bytes of its ids, encoded by the library when first met; ``older`` is the generation before."""
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -146,17 +161,37 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        wanted = {p for pieces in cut for p in pieces}
-        if len(self.known) + len(wanted) > CACHE:
-            self.known.clear()
-        new = [p for p in wanted if p not in self.known]
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join(map(known.__getitem__, pieces)) + end for pieces in cut]
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        return [b"".join(map(self.__getitem__, self.pieces(t))) + end for t in texts]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._fresh(piece)
+        self[piece] = ids
+        return ids
+
+    def _fresh(self, piece: str) -> bytes:
+        """Matches of the pre-tokeniser are encoded by the model, spelled in its letters.
+
+        A word is one match, and so is a comma or full stop after it; ASCII pieces
+        are matched by the pre-tokeniser's own pattern; the library does the rest.
+        """
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():
+            return self._one(piece)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return self[piece[:-1]] + self[word[-1]]
+        if piece.isascii():
+            matches = _MATCH.findall(piece)
+            return self._one(piece) if len(matches) == 1 else b"".join([self[m] for m in matches])
+        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _one(self, match: str) -> bytes:
+        spelled = "".join(map(self.letters.__getitem__, match.encode()))
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -177,8 +212,6 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
