@@ -244,27 +244,24 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """Per document, from the shards' bytes: doc_id, start, n_tokens, ids_crc32.
 
     Offsets of shards are running sums over one small row per shard, within each
-    part and over the parts' totals.
+    part and over the parts' totals; the shards themselves are read in place.
     """
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
-        F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_part")
-    )
-    starts = shards.select("part", F.col("seq").alias("q"), F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("before_seq")).join(parts, F.col("part") == F.col("p"))
-    starts = starts.select("p", "q", (F.col("before_part") + F.col("before_seq")).alias("before"))
-    placed = shards.join(starts, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("q"))).select("doc_ids", "before", "shard")
-
     def run(batches):
         for batch in batches:
-            for doc_ids, before, blob in zip(*(batch.column(c) for c in ("doc_ids", "before", "shard"))):
-                s, view = Shard(blob.as_py()), None
-                ends = s.ends.values()
-                begins = np.concatenate([[0], ends[:-1]]) if s.n else ends
-                view = s.ids
-                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+            for part, seq, doc_ids, blob in zip(*(batch.column(c) for c in ("part", "seq", "doc_ids", "shard"))):
+                shard = Shard(blob.as_py())
+                ends = shard.ends.values()
+                begins = np.concatenate([[0], ends[:-1]]) if shard.n else ends
+                crc = [zlib.crc32(shard.ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.record_batch(
-                    [pa.array(doc_ids.as_py(), pa.int64()), pa.array(begins + before.as_py(), pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.repeat(part, shard.n), pa.repeat(seq, shard.n), doc_ids.values, pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["part", "seq", "doc_id", "begin", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "doc_ids", "shard").mapInArrow(run, "part int, seq int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy(F.col("part").alias("p")).agg(F.sum("n_ids").alias("n")).withColumn("before_part", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    starts = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("before_seq")).join(parts, F.col("part") == F.col("p"))
+    starts = starts.select("part", "seq", (F.col("before_part") + F.col("before_seq")).alias("before"))
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

@@ -21,7 +21,6 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladescope.llm.common import held_out
+from cladescope.llm.textscan import slices
 
 #: Hash values of trigrams; documents of a label in the sample; bytes handled at once.
 GRAM_BITS = 16
@@ -139,18 +139,6 @@ class LanguageModel:
         return out
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > SLICE:
-            yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from the rows that aren't held out and have a label."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
@@ -169,7 +157,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 texts = list(texts)
-                for begin, end in _slices(texts):
+                for begin, end in slices(texts, SLICE):
                     ids, _ = gram_ids(texts[begin:end])
                     sums[lang] = sums.get(lang, 0) + np.bincount(ids, minlength=GRAMS)
         for lang, n in sums.items():
@@ -191,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for begin, end in _slices(texts):
+            for begin, end in slices(texts, SLICE):
                 part = [t if t is not None and has_letter(t) else "" for t in texts[begin:end]]
                 names, scores, langs, shares = [], [], [], []
                 for share, n in model.mixtures(part):

@@ -16,7 +16,6 @@ repeated rows and null ids give a row each; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladescope.llm.textscan import slices
+
 # Fixed values of the SentencePiece model format.
 SPACE_SYMBOL = "▁".encode()
 UNKNOWN, BYTE = 2, 6  # piece types
@@ -166,17 +167,6 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 CHUNK = 1 << 20
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ids, starts and ends (byte spans in the text), decoded.
 
@@ -188,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         model = codec(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for begin, end in _slices(texts):
+            for begin, end in slices(texts, CHUNK):
                 part = texts[begin:end]
                 ids = model.encode(part)
                 arrays = [np.array(x, np.int32) for x in ids]

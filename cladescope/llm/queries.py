@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladescope.llm import id_shards, language_mixture, piece_codec, secret_ownership, source_mixing, toxic_segments
+from cladescope.llm import id_shards, language_mixture, main_text, piece_codec, quality_outliers, secret_ownership, shingle_join, source_mixing, toxic_segments, vector_graph
 from cladescope.llm.common import read_table
 
 
+def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vector_graph.search_index(vector_graph.build_index(vectors), vectors.where("vec_id % 50 = 0"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(read_table(spark, sf_dir, "pages"))
+
+
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers.assess(read_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = source_mixing.mixing_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_mixture": op1_language_mixture,
         "op2_secret_ownership": op2_secret_ownership,
+        "op3_vector_graph": op3_vector_graph,
+        "op4_main_text": op4_main_text,
+        "op5_shingle_join": op5_shingle_join,
+        "op6_quality_outliers": op6_quality_outliers,
         "op7_source_mixing": op7_source_mixing,
         "op8_id_shards": op8_id_shards,
         "op9_piece_codec": op9_piece_codec,
@@ -57,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": source_mixing.ORACLE_SQL}
+    return {"op5_shingle_join": shingle_join.ORACLE_SQL, "op7_source_mixing": source_mixing.ORACLE_SQL}

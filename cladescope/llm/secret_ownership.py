@@ -44,28 +44,28 @@ WIDE, OWN = 3, 1
 PLACEHOLDER, VARIED = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|test|0123456|1234567|abcdef[^0-9a-f]", 8
 
 
-def _scan(text: Column, pattern: str, group: int, least: int) -> Column:
+def _pattern(pattern: str, group: int, least: int) -> str:
+    """Where the value is a maximal run, the pattern itself can skip the shorter ones."""
+    if group or not pattern.endswith("]+"):
+        return pattern
+    return f"{pattern[:-1]}{{{least - len(pattern.split('[')[0])},}}"
+
+
+def _spans(hits: Column, values: Column, before: Column, least: int) -> Column:
     """Spans of all matches: array of (start, end, value), values of at least ``least`` characters.
 
-    The text between matches and the matches themselves give the offsets.
+    ``before`` holds the texts between the matches: they and the matches give the offsets.
     """
-    # maximal runs: the shorter ones can be skipped by the pattern itself
-    if pattern.endswith("]+") and group == 0:
-        lead = len(pattern.split("[")[0])
-        pattern = f"{pattern[:-1]}{{{least - lead},}}"
-    rx = F.lit(pattern)
-    hits = F.regexp_extract_all(text, rx, F.lit(0))
-    rows = F.arrays_zip(hits.alias("hit"), (F.regexp_extract_all(text, rx, F.lit(group)) if group else hits).alias("value"), F.split(text, pattern, -1).alias("before"))
-    rows = F.slice(rows, 1, F.size(hits))  # the part after the last match has none
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("spans"))
+    rows = F.slice(F.arrays_zip(hits.alias("hit"), values.alias("value"), before.alias("before")), 1, F.size(hits))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["before"])
         end = begin + F.char_length(x["hit"])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
 
-    spans = F.aggregate(rows, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(hits) > 0, F.filter(spans, lambda s: F.char_length(s["value"]) >= least)).otherwise(start["spans"])
+    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return F.when(F.size(hits) > 0, F.filter(found, lambda s: F.char_length(s["value"]) >= least)).otherwise(none)
 
 
 def _looks_live(value: Column) -> Column:
@@ -75,19 +75,24 @@ def _looks_live(value: Column) -> Column:
 
 def _with_spans(rows: DataFrame) -> DataFrame:
     """``rows`` (with a column text) and spans: array of (start, rank, kind, end, hash, live), by start and kind."""
-    found = []
-    for rank, (kind, pattern, group, least) in enumerate((*BASE, BARE)):
-        rows = rows.withColumn(f"spans_{kind}", _scan(F.col("text"), pattern, group, least))
+    text, kinds = F.col("text"), (*BASE, BARE)
+    rules = {kind: (F.lit(_pattern(rx, group, least)), group) for kind, rx, group, least in kinds}
+    # each as a column of its own: an expression inside a higher-order function is run anew at every mention
+    rows = rows.withColumns({f"hit_{k}": F.regexp_extract_all(text, rx, F.lit(0)) for k, (rx, _) in rules.items()})
+    some = {k: F.size(f"hit_{k}") > 0 for k in rules}
+    rows = rows.withColumns(
+        {f"value_{k}": F.when(some[k], F.regexp_extract_all(text, rx, F.lit(group))) if group else F.col(f"hit_{k}") for k, (rx, group) in rules.items()}
+        | {f"gap_{k}": F.when(some[k], F.split(text, rx, -1)) for k, (rx, _) in rules.items()}
+    )
+    rows = rows.withColumns({f"spans_{kind}": _spans(F.col(f"hit_{kind}"), F.col(f"value_{kind}"), F.col(f"gap_{kind}"), least) for kind, _, _, least in kinds})
 
-        def shape(s, rank=rank, kind=kind):
-            return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), _looks_live(s["value"]).alias("live"))
+    def shape(rank: int, kind: str):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), _looks_live(s["value"]).alias("live"))
 
-        found.append((kind, shape))
-    base = F.concat(*[F.transform(f"spans_{kind}", shape) for kind, shape in found[:-1]])
-    rows = rows.withColumn("base", F.array_sort(base))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*[F.transform(f"spans_{kind}", shape(rank, kind)) for rank, (kind, *_) in enumerate(BASE)])))
     bare = F.filter("spans_bare", lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = F.array_sort(F.concat("base", F.transform(bare, found[-1][1])))
-    return rows.withColumn("spans", spans).drop("base", *[f"spans_{kind}" for kind, _ in found])
+    rows = rows.withColumn("spans", F.array_sort(F.concat("base", F.transform(bare, shape(len(BASE), BARE[0])))))
+    return rows.drop("base", *[f"{x}_{kind}" for kind, *_ in kinds for x in ("hit", "value", "gap", "spans")])
 
 
 def ownership(candidates: DataFrame, wide: int = WIDE, own: int = OWN) -> DataFrame:

@@ -28,14 +28,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladescope.llm.common import held_out
 
 PER_CLASS, LEXICON = 8000, 20_000
 #: Cost of a word without evidence; least documents and z-score of a word with evidence; strength of the prior.
-DRIFT, LEAST_DOCS, LEAST_Z, PRIOR = 0.4, 4, 4.0, 200.0
+DRIFT, LEAST_DOCS, LEAST_Z, PRIOR = 0.4, 4, 5.0, 200.0
 #: Segments up to this p-value are significant. Decision threshold of the contract.
 SIGNIFICANT, THRESHOLD = 0.01, 0.3
 _WORD = re.compile(r"\w+")
@@ -133,6 +133,17 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(beta[0]), float(beta[1])
 
 
+def _sketch(text: Column) -> Column:
+    """Least hash of the text's three-word windows: most near copies share it."""
+
+    # the one-element array binds the words, so they are split once a text
+    def least(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " "))))
+
+    return F.element_at(F.transform(F.array(F.split(F.lower(text), r"\W+")), least), 1)
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Learn from labelled rows that aren't held out."""
     known = labels.where(~held_out(labels["doc_id"]) & labels["toxic"].isNotNull() & labels["doc_id"].isNotNull())
@@ -145,7 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     sample = known.where(draw < chance).withColumn("part", F.pmod(F.xxhash64("label_id", F.lit("part")), F.lit(3)).cast("int"))
     # at most about 2 * per_class small rows: a bounded broadcast
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("toxic", "part", "text").persist()
+    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("toxic", "part", "text")
+    # copies of one document share their label and would pass for evidence of all their words
+    rows = rows.withColumn("sketch", _sketch(F.col("text"))).dropDuplicates(["sketch", "toxic"]).drop("sketch").persist()
 
     def count_words(batches):
         import pandas as pd
