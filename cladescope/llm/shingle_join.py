@@ -99,7 +99,7 @@ def least_overlap(n):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, thash (of the text), n, cls (null if empty), packed; written to the shared folder."""
+    """Per row: doc_id, thash (of the text), n, cls (null if empty), counts, packed; written to the shared folder."""
 
     def run(batches):
         for batch in batches:
@@ -109,12 +109,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 packed = [_pack(s) for s in sets]
                 cut = batch.slice(begin, end - begin)
                 yield pa.record_batch(
-                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "thash", "n", "cls", "packed"],
+                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array(map(_counts, sets), pa.binary()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "thash", "n", "cls", "counts", "packed"],
                 )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("thash"), docs["text"].alias("text"))
-    return materialize(slim.mapInArrow(run, "doc_id long, thash long, n long, cls long, packed binary"), "shingles")
+    return materialize(slim.mapInArrow(run, "doc_id long, thash long, n long, cls long, counts binary, packed binary"), "shingles")
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def _sieve(ids: DataFrame) -> np.ndarray:
 
 
 def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, n, counts, packed of the classes in ``pairs`` (and a few others)."""
+    """cls, packed of the classes in ``pairs`` (and a few others)."""
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
     shared = sets.sparkSession.sparkContext.broadcast(_sieve(ids))
 
@@ -300,22 +300,22 @@ def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             bit = batch.column("bit").to_numpy()
             hit = np.flatnonzero(sieve[bit // 32] >> (bit % 32).astype(np.uint32) & 1)
-            cut = batch.take(pa.array(hit))
-            cls = cut.column("cls").to_pylist()
-            fresh = [i for i, c in enumerate(cls) if c not in known and not known.add(c)]
-            cut = cut.take(pa.array(fresh, pa.int64()))
-            packed = cut.column("packed").to_pylist()
-            yield pa.record_batch([cut.column("cls"), cut.column("n"), pa.array([_counts(_unpack(p)) for p in packed], pa.binary()), pa.array(packed, pa.binary())], names=["cls", "n", "counts", "packed"])
+            cls = batch.column("cls").to_numpy()
+            fresh = [i for i in hit.tolist() if cls[i] not in known and not known.add(cls[i])]
+            yield pa.record_batch([batch.column("cls"), batch.column("packed")], names=["cls", "packed"]).take(pa.array(fresh, pa.int64()))
 
     bit = F.pmod(F.xxhash64("cls"), F.lit(SIEVE_BITS)).cast("int").alias("bit")
-    kept = sets.where("cls is not null").select("cls", "n", "packed", bit).mapInArrow(run, "cls long, n long, counts binary, packed binary")
+    kept = sets.where("cls is not null").select("cls", "packed", bit).mapInArrow(run, "cls long, packed binary")
     return materialize(kept.dropDuplicates(["cls"]), "paired")
 
 
 def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of classes that reach the similarity; each is verified once."""
-    kept = _sets_of(sets, pairs)
-    side = lambda of, *columns: kept.select(F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
+    """The pairs (x, y) of classes that reach the similarity; each is verified once.
+
+    The suffix filter moves counts only; sets move for the pairs that it leaves.
+    """
+    known = sets.where("cls is not null").select("cls", "n", "counts").dropDuplicates(["cls"])
+    side = lambda of, table, *columns: table.select(F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
 
     def sift(batches):
         for batch in batches:
@@ -328,7 +328,9 @@ def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep = (100 + PERCENT) * most >= PERCENT * (nx + ny)
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
 
-    near = pairs.join(side("x", "n", "counts"), "x").join(side("y", "n", "counts"), "y").mapInArrow(sift, "x long, y long")
+    near = pairs.join(side("x", known, "n", "counts"), "x").join(side("y", known, "n", "counts"), "y").mapInArrow(sift, "x long, y long")
+    near = materialize(near, "near")
+    kept = _sets_of(sets, near)
 
     def verify(batches):
         for batch in batches:
@@ -341,7 +343,7 @@ def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = near.join(side("x", "packed"), "x").join(side("y", "packed"), "y")
+    whole = near.join(side("x", kept, "packed"), "x").join(side("y", kept, "packed"), "y")
     return materialize(whole.mapInArrow(verify, "x long, y long"), "links")
 
 

@@ -1,13 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds between toxic and clean documents under Dirichlet priors
-proportional to their overall frequency; all other words cost a small drift. A
-linear-time scan finds every maximal-scoring segment of a text. The best score
-of a clean text follows an extreme-value law whose location grows with the log
-of its length; fitted on clean training texts it turns segment scores into
-evidence, and the significant segments' evidence is summed and mapped to a
-probability by logistic regression on training rows that the words weren't
-learned from.
+Words and their beginnings (inflected forms share one) get log-odds between toxic
+and clean documents under Dirichlet priors proportional to their overall
+frequency; a word takes those of its longest known beginning, all others cost a
+small drift, the log-odds of not being one of them. A linear-time scan finds
+every maximal-scoring segment of a text. The best score of a clean text follows
+an extreme-value law whose location grows with the log of its length; fitted on
+clean training texts it turns segment scores into evidence, and the significant
+segments' evidence is summed and mapped to a probability by logistic regression
+on training rows that the words weren't learned from.
 
 Learning reads a bounded sample (``per_class`` labelled rows of each class in
 expectation, by a hash of the id) - its ids are few enough to broadcast to the
@@ -24,7 +25,8 @@ alike; an empty table gives an empty one; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,13 @@ from pyspark.sql import functions as F
 from cladescope.llm.common import held_out
 
 PER_CLASS, LEXICON = 8000, 20_000
-#: Cost of a word without evidence; least documents and z-score of a word with evidence; strength of the prior.
-DRIFT, LEAST_DOCS, LEAST_Z, PRIOR = 0.4, 4, 5.0, 200.0
-#: Segments up to this p-value are significant. Decision threshold of the contract.
-SIGNIFICANT, THRESHOLD = 0.01, 0.3
+#: Lengths of beginnings; least documents, z-score and log-odds of one with evidence; strength of the prior; tokens of one document that count.
+SHORTEST, LONGEST = 4, 12
+#: Least cost of a word without evidence.
+LEAST_DRIFT = 0.01
+LEAST_DOCS, LEAST_Z, LEAST_ODDS, PRIOR, MOST_TOKENS = 4, 5.0, 1.0, 20.0, 5
+#: Segments up to this p-value are significant. Decision threshold of the contract. Words that a process keeps scored.
+SIGNIFICANT, THRESHOLD, KNOWN = 0.01, 0.3, 400_000
 _WORD = re.compile(r"\w+")
 
 
@@ -45,6 +50,26 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def beginnings(word: str) -> list[str]:
+    """The word, and its beginnings by falling length; a whole word ends with a blank."""
+    return [word + " ", *(word[:n] for n in range(min(len(word), LONGEST), SHORTEST - 1, -1))]
+
+
+class _Scores(dict):
+    """word -> score, by the longest known beginning; the drift for all others."""
+
+    def __init__(self, lexicon: dict[str, float], drift: float):
+        super().__init__()
+        self.lexicon, self.drift = lexicon, drift
+
+    def __missing__(self, word: str) -> float:
+        out = next((s for b in beginnings(word) if (s := self.lexicon.get(b)) is not None), -self.drift)
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = out
+        return out
+
+
 def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), in order, in linear time.
 
@@ -73,14 +98,18 @@ def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
 @dataclass(frozen=True)
 class ToxicityModel:
     lexicon: dict[str, float] = field(default_factory=dict)
+    drift: float = 0.05
     #: Location a + b log(1 + n) and scale of the extreme-value law.
     law: tuple[float, float, float] = (0.0, 0.0, 1.0)
     logistic: tuple[float, float] = (-50.0, 0.0)
 
+    @cached_property
+    def scores(self) -> _Scores:
+        return _Scores(self.lexicon, self.drift)
+
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         words = words_of(text)
-        get = self.lexicon.get
-        values = np.fromiter((get(w, -DRIFT) for w in words), np.float64, len(words))
+        values = np.fromiter(map(self.scores.__getitem__, words), np.float64, len(words))
         return len(words), maximal_segments(values) if (values > 0).any() else []
 
     def evidence(self, n: int, score: float) -> float:
@@ -109,6 +138,35 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
     return delta, delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
 
+def choose(rows: list[dict], n1: int, n0: int, tokens1: int, tokens0: int) -> dict[str, float]:
+    """Log-odds of the words and beginnings with evidence.
+
+    From long to short: where clean texts hold words of a beginning that no longer
+    chosen one covers, only those words count for it, so ``lose`` isn't taken for ``loser``.
+    """
+    lexicon: dict[str, float] = {}
+    covered: dict[str, list[int]] = {}
+    one = lambda *x: [np.array([v], float) for v in x]
+    for row in sorted(rows, key=lambda r: (-len(r["word"].rstrip(" ")), not r["word"].endswith(" "), r["word"])):
+        word = row["word"]
+        t_known, c_known = covered.get(word, (0, 0))
+        t, c, t_tokens, c_tokens = row["t"], row["c"], row["t_tokens"], row["c_tokens"]
+        if c_tokens - c_known >= LEAST_DOCS - 1:
+            t_tokens, c_tokens = max(t_tokens - t_known, 0), c_tokens - c_known
+            t, c = min(t, t_tokens), min(c, c_tokens)
+        _, z = log_odds(*one(t, c), n1, n0)
+        odds, _ = log_odds(*one(t_tokens, c_tokens), tokens1, tokens0)
+        if t < LEAST_DOCS or z[0] < LEAST_Z or odds[0] < LEAST_ODDS:
+            continue
+        lexicon[word] = float(odds[0])
+        for shorter in beginnings(word.rstrip(" ")):
+            if len(shorter.rstrip(" ")) < len(word.rstrip(" ")) or word.endswith(" ") and shorter != word:
+                held = covered.setdefault(shorter, [0, 0])
+                held[0] += row["t_tokens"] - t_known
+                held[1] += row["c_tokens"] - c_known
+    return lexicon
+
+
 def _fit_law(n: np.ndarray, best: np.ndarray) -> tuple[float, float, float]:
     """Moments of an extreme-value law with a location linear in log(1 + n); the scale has a floor."""
     x = np.log1p(n)
@@ -164,31 +222,57 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
         import pandas as pd
         from collections import Counter
 
-        sums = (Counter(), Counter())
+        sums: dict[str, list[int]] = {}
+
+        def found():
+            columns = np.array(list(sums.values()), np.int64).reshape(-1, 4).T
+            return pd.DataFrame({"word": pd.Series(list(sums), dtype="str"), **dict(zip(("c", "t", "c_tokens", "t_tokens"), columns))})
+
         for batch in batches:
             for toxic, text in zip(batch["toxic"], batch["text"]):
-                sums[toxic].update(set(words_of(text)))
-            if len(sums[0]) + len(sums[1]) > 1_000_000:
-                for t in (0, 1):
-                    yield pd.DataFrame({"word": list(sums[t]), "n": list(sums[t].values())}).assign(toxic=t)
-                sums = (Counter(), Counter())
-        for t in (0, 1):
-            yield pd.DataFrame({"word": pd.Series(list(sums[t]), dtype="str"), "n": pd.Series(list(sums[t].values()), dtype="int64")}).assign(toxic=t)
+                own: Counter = Counter()
+                for w, n in Counter(words_of(text)).items():
+                    for b in beginnings(w):
+                        own[b] += n
+                for b, n in own.items():
+                    row = sums.setdefault(b, [0, 0, 0, 0])
+                    row[toxic] += 1
+                    row[2 + toxic] += min(n, MOST_TOKENS)
+            if len(sums) > 500_000:
+                yield found()
+                sums.clear()
+        yield found()
+
+    def count_tokens(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"toxic": batch["toxic"], "n": [len(words_of(x)) for x in batch["text"]]})
 
     try:
         teach = rows.where("part > 0")
-        sizes = {r["toxic"]: r["n"] for r in teach.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        table = teach.mapInPandas(count_words, "word string, n long, toxic int").groupBy("word").agg(
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
-        )
-        # more frequent in toxic documents, and in enough of them; the z-score decides below
-        n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-        if not n1 or not n0:
+        sizes = {r["toxic"]: r for r in teach.mapInPandas(count_tokens, "toxic int, n long").groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).collect()}
+        if len(sizes) < 2:
             return ToxicityModel()
-        found = table.where((F.col("t") >= LEAST_DOCS) & (F.col("t") * n0 > F.col("c") * n1)).orderBy(F.desc(F.col("t") / n1 - F.col("c") / n0), "word").limit(LEXICON).toPandas()
-        delta, z = log_odds(found["t"].to_numpy(float), found["c"].to_numpy(float), n1, n0)
-        lexicon = {w: float(d) for w, d, s in zip(found["word"], delta, z) if s >= LEAST_Z}
-        first = ToxicityModel(lexicon)
+        n1, n0 = sizes[1]["docs"], sizes[0]["docs"]
+        names = ("c", "t", "c_tokens", "t_tokens")
+        table = teach.mapInPandas(count_words, "word string, c long, t long, c_tokens long, t_tokens long").groupBy("word").agg(*[F.sum(x).alias(x) for x in names])
+        # clearly more frequent in toxic documents, and in enough of them; the z-score decides below
+        odd = table.where((F.col("t") >= LEAST_DOCS) & (F.col("t") * n0 > 2 * F.col("c") * n1))
+        found = odd.orderBy(F.desc(F.col("t") / n1 - F.col("c") / n0), "word").limit(LEXICON).toPandas()
+        lexicon = choose(found.to_dict("records"), n1, n0, sizes[1]["tokens"] or 1, sizes[0]["tokens"] or 1)
+        first = ToxicityModel(lexicon, 0.0)
+
+        def rate(batches):
+            import pandas as pd
+
+            for batch in batches:
+                hits = [sum(v > 0 for v in map(first.scores.__getitem__, words_of(x))) for x in batch["text"]]
+                yield pd.DataFrame({"toxic": batch["toxic"], "hits": hits})
+
+        # a word outside the lexicon is so much likelier in a clean text
+        seen = {r["toxic"]: r["hits"] / max(sizes[r["toxic"]]["tokens"], 1) for r in teach.mapInPandas(rate, "toxic int, hits long").groupBy("toxic").agg(F.sum("hits").alias("hits")).collect()}
+        first = replace(first, drift=max(LEAST_DRIFT, 1.5 * (seen[1] - seen[0])))
 
         def measure(batches):
             import pandas as pd
@@ -205,13 +289,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     clean = held[held["toxic"] == 0]
     best = np.array([max(f, default=0.0) for f in clean["found"]])
     law = _fit_law(clean["n"].to_numpy(float), best)
-    model = ToxicityModel(lexicon, law)
+    model = replace(first, law=law)
     cut = -np.log(SIGNIFICANT)
     total = np.array([sum(e for s in f if (e := model.evidence(n, s)) >= cut) for n, f in zip(held["n"], held["found"])])
     toxic = held["toxic"].to_numpy(float)
     # undo the sample's balance
     weight = np.where(toxic == 1, count[1] / max(toxic.sum(), 1), count[0] / max((1 - toxic).sum(), 1))
-    return ToxicityModel(lexicon, law, _fit_logistic(np.log1p(total), toxic, weight / weight.mean()))
+    return replace(model, logistic=_fit_logistic(np.log1p(total), toxic, weight / weight.mean()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFrame:
