@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladescope.llm.textscan import slices
@@ -192,11 +192,19 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encoded.select(
-        "doc_id",
+def with_digests(encoded: DataFrame) -> DataFrame:
+    """The ids of each row (spans and text left out) and their digests."""
+    return encoded.select("doc_id", "ids", *digest_columns())
+
+
+def digest_columns() -> list[Column]:
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encoded.select("doc_id", *digest_columns())
