@@ -8,8 +8,9 @@ fail the base rules.
 
 Scale: one pass over the text writes the statistics (a few numbers a row). A
 concentration step is a distance expression, an approximate quantile per group
-and sums of products, all with map-side aggregation over all rows - a source
-with a third of the rows is no hot task, and nothing is sampled. The estimates
+and sums of products, all with map-side aggregation over all rows, joined to their group's
+row by group and salt - a source with a third of the rows is no hot task, and
+nothing is sampled. The estimates
 are one small row per group; they stay a table, and its inverse is taken there.
 
 Groups under LEAST_ROWS rows use their language's estimate, and that of all rows
@@ -178,23 +179,32 @@ def _levels() -> Column:
     return F.array(F.to_json(F.struct(lang.alias("l"), source.alias("s"))), F.to_json(F.struct(lang.alias("l"))), F.lit("*"))
 
 
+def _salted(table: DataFrame, parts: int) -> DataFrame:
+    """Each group's small row for every salt: rows of one group so meet it in many tasks."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+
 def estimates(stats: DataFrame) -> DataFrame:
     """grp, rows, centre, inverse: minimum-covariance-determinant estimates of every group that is large enough."""
-    shared_dir(stats.sparkSession)
-    rows = stats.where(~F.col("base_failed")).select(F.explode(_levels()).alias("grp"), *DIMENSIONS)
+    spark = stats.sparkSession
+    shared_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("doc_id", *DIMENSIONS), F.lit(parts)).cast("int").alias("salt")
+    rows = stats.where(~F.col("base_failed")).select(F.explode(_levels()).alias("grp"), salt, *DIMENSIONS)
     size = rows.groupBy("grp").agg(F.count("*").alias("rows"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m_{x}") for x in DIMENSIONS])
-    size = size.where((F.col("rows") >= LEAST_ROWS) | (F.col("grp") == "*"))
+    size = size.where((F.col("rows") >= LEAST_ROWS) | (F.col("grp") == "*")).checkpoint()
     # start: the rows nearest the medians, in units of the median deviation
-    near = rows.join(size, "grp")
+    near = rows.join(_salted(size, parts), ["grp", "salt"])
     spread = near.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 2000).alias(f"s_{x}") for x in DIMENSIONS])
     d = len(DIMENSIONS)
     scale = [1 / ((1.4826 * F.col(f"s_{x}")) ** 2 + FLOORS[x] ** 2) for x in DIMENSIONS]
     inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
     now = size.join(spread, "grp").select("grp", "rows", F.array(*[F.col(f"m_{x}").cast("double") for x in DIMENSIONS]).alias("centre"), inverse.alias("inverse")).checkpoint()
     for _ in range(STEPS):
-        far = rows.join(now, "grp").withColumn("d2", _distance(F.col("centre"), F.col("inverse"))).select("grp", "rows", "d2", *DIMENSIONS)
+        far = rows.join(_salted(now, parts), ["grp", "salt"]).withColumn("d2", _distance(F.col("centre"), F.col("inverse")))
         cut = far.groupBy("grp").agg(F.percentile_approx("d2", HALF, 2000).alias("cut"))
-        now = _inverted(_moments(far.join(cut, "grp").where("d2 <= cut")), consistency(HALF, d)).checkpoint()
+        near = rows.join(_salted(now.join(cut, "grp"), parts), ["grp", "salt"]).where(_distance(F.col("centre"), F.col("inverse")) <= F.col("cut"))
+        now = _inverted(_moments(near), consistency(HALF, d)).checkpoint()
     return now
 
 
