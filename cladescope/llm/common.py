@@ -20,15 +20,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: While a table is written: a finished query's shuffle files go at once, and Arrow batches of long rows stay small.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it again.
 
     This cuts the lineage durably: a lost executor costs only its running tasks.
-    Parquet keeps the table smaller than ``checkpoint()`` would.
+    Parquet keeps the table smaller than ``checkpoint()`` would, and the shuffle
+    files that made it go, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in _WHILE}
+    for k, v in _WHILE.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

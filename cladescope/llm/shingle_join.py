@@ -4,19 +4,23 @@ A document's set holds the hashes of its distinct shingles. Two sets reach a
 Jaccard similarity of 0.8 only if they share a shingle among their first
 n - ceil(0.8 n) + 1 in one common order of all shingles; the order puts frequent
 shingles last. Postings of those prefixes meet by shingle; the length and
-positional filters cut pairs there, the suffix filter (differences of the
-counts in 64 ranges of the hash) cuts them before any set is moved, and each
-remaining pair is verified once on the whole sets.
-
-No bucket's pairs are all emitted. Equal sets collapse into a class first. In a
-first round every posting meets the WINDOW before it in its bucket and the
-bucket's first; verified links give components. A second round takes, in the
-buckets that are longer than that, the pairs whose members lie in different
-components, which is exactly what can still connect anything. A large group of
-near copies so costs a few pairs a member, and nothing is dropped.
+positional filters cut pairs there, the suffix filter (parities of the counts in
+512 ranges of the hash, of which sets can't differ more often than in shingles)
+cuts them before any set is moved, and each remaining pair is verified once on
+the whole sets.
+
+No bucket's pairs are all emitted. Equal sets collapse into a class first.
+Shingles that only one class holds in its prefix go, and the positional filter
+counts without them, which leaves texts that differ by much out of their group's
+buckets. In each of a few rounds a bucket's postings meet one pivot, unless they
+are of its component already; verified links give components. The last round
+takes the pairs in a bucket whose members still lie in different components,
+which is exactly what can still connect anything. A large group of near copies so
+costs a few pairs a member, and nothing is dropped.
 
 Scale: postings of prefixes (a fifth of the shingles) are the one large shuffle;
-the sorted buckets are streamed, never gathered. Frequent shingles are counted
+the sorted buckets are streamed, never gathered. Pivots are minima with map-side
+aggregation, and buckets join them by shingle. Frequent shingles are counted
 in a bounded table (FREQUENT rows); any order gives the same result, so its
 bound touches speed only. Sets move only for documents in surviving pairs: a
 bit map of fixed size sieves them at the scan.
@@ -36,7 +40,7 @@ from __future__ import annotations
 import hashlib
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladescope.llm.common import materialize
@@ -44,12 +48,12 @@ from cladescope.llm.textscan import mix, odd_numbers, scan_words, slices
 from cladescope.operators.graph import connected_components
 
 WORDS, PERCENT = 5, 80
-#: Postings before it that a posting meets in the first round, besides the bucket's first.
-WINDOW = 4
+#: Rounds with a pivot before the exact one.
+ROUNDS = 3
 #: Rows of the table of frequent shingles, and shingles counted together in search of them.
 FREQUENT, COUNTED = 400_000, 1 << 22
-#: Ranges of the hash whose counts the suffix filter compares; bits of the sieve.
-RANGES, SIEVE_BITS = 64, 1 << 25
+#: Ranges of the hash whose parities the suffix filter compares (a multiple of 64); bits of the sieve.
+RANGES, SIEVE_BITS = 512, 1 << 25
 _PLACE = odd_numbers(6, WORDS)
 
 
@@ -88,9 +92,10 @@ def _class_of(packed: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little") >> 1
 
 
-def _counts(s: np.ndarray) -> bytes:
-    """Counts of the set in RANGES ranges of the hash, as 16-bit numbers."""
-    return np.minimum(np.bincount((s >> np.uint64(42)).astype(np.int64), minlength=RANGES), 65535).astype("<u2").tobytes()
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Whether the set's count is odd in each of RANGES parts of the hash, as 64-bit numbers."""
+    odd = np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def least_overlap(n):
@@ -99,7 +104,7 @@ def least_overlap(n):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, thash (of the text), n, cls (null if empty), counts, packed; written to the shared folder."""
+    """Per row: doc_id, thash (of the text), n, cls (null if empty), odd, packed; written to the shared folder."""
 
     def run(batches):
         for batch in batches:
@@ -109,12 +114,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 packed = [_pack(s) for s in sets]
                 cut = batch.slice(begin, end - begin)
                 yield pa.record_batch(
-                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array(map(_counts, sets), pa.binary()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "thash", "n", "cls", "counts", "packed"],
+                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array([_parities(s) for s in sets], pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                    names=["doc_id", "thash", "n", "cls", "odd", "packed"],
                 )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("thash"), docs["text"].alias("text"))
-    return materialize(slim.mapInArrow(run, "doc_id long, thash long, n long, cls long, counts binary, packed binary"), "shingles")
+    return materialize(slim.mapInArrow(run, "doc_id long, thash long, n long, cls long, odd array<long>, packed binary"), "shingles")
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -189,88 +194,60 @@ def _postings(sets: DataFrame) -> DataFrame:
 
 
 class BucketStream:
-    """Turns postings sorted by shingle, n and cls into pairs and the rows of long buckets.
+    """Passes on postings, sorted by shingle, n and class, of shingles with more than one class.
 
-    Only the last WINDOW + 1 postings and the first of the open bucket are kept.
+    A class counts once a bucket. Only the last posting is kept between batches,
+    and whether it was passed on.
     """
 
     def __init__(self):
-        self.tail = np.zeros((0, 5), np.int64)  # shingle, cls, n, pos, index in its bucket
-        self.lead = np.zeros((0, 5), np.int64)
+        self.last = np.zeros((0, 4), np.int64)
+        self.passed = False
 
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """rows: shingle, cls, n, pos. Returns pairs (x, y) and long-bucket rows (shingle, cls, n, pos)."""
-        before = len(self.tail)
-        rows = np.concatenate([self.tail, np.concatenate([rows, np.zeros((len(rows), 1), np.int64)], 1)])
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """rows: shingle, cls, n, pos."""
+        before = len(self.last)
+        rows = np.concatenate([self.last, rows])
         same = np.concatenate([[False], (rows[1:, :2] == rows[:-1, :2]).all(1)])
-        same[:before] = False
         rows = rows[~same]
-        n = len(rows)
-        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
-        begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        offset = np.where(begin == 0, rows[0, 4] if before else 0, 0)
-        rows[:, 4] = np.arange(n) - begin + offset
-        fresh = np.arange(n) >= before
-        pairs = []
-        for d in range(1, WINDOW + 1):
-            i = np.flatnonzero(fresh & (rows[:, 4] >= d))
-            i = i[i >= d]
-            pairs.append(self._meet(rows[i - d], rows[i]))
-        i = np.flatnonzero(fresh & (rows[:, 4] > WINDOW))
-        if len(i):
-            leads = rows[begin[i]]
-            if before and len(self.lead):
-                leads = np.where((begin[i] == 0)[:, None], self.lead, leads)
-            pairs.append(self._meet(leads, rows[i]))
-        # a bucket is long once it has WINDOW + 2 postings; its earlier ones follow then
-        long = np.flatnonzero(fresh & (rows[:, 4] > WINDOW + 1))
-        turns = np.flatnonzero(fresh & (rows[:, 4] == WINDOW + 1))
-        late = (turns[:, None] - np.arange(WINDOW + 2)).ravel()
-        out = rows[np.concatenate([long, late]).astype(np.int64), :4]
-        if n:
-            self.lead = rows[begin[-1]][None] if rows[begin[-1], 4] == 0 else self.lead
-            self.tail = rows[max(begin[-1], n - WINDOW - 1) :]
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        return (np.unique(found, axis=0) if len(found) else found), out
-
-    @staticmethod
-    def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        keep = may_reach(x[:, 2], x[:, 3], y[:, 2], y[:, 3]) & (x[:, 1] != y[:, 1])
-        x, y = x[keep, 1], y[keep, 1]
-        return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
-
-
-def may_reach(n1, p1, n2, p2):
-    """Length filter, and positional filter for a common shingle at positions p1 and p2 (numbers, arrays or columns).
-
-    Common shingles lie before both positions, at them, or after both.
+        twin = rows[1:, 0] == rows[:-1, 0]
+        keep = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
+        if before:
+            keep[0], passed = keep[0] and not self.passed, self.passed
+        # the last one follows when its next is known to share the shingle
+        self.passed = bool(keep[-1]) or bool(before and len(rows) == 1 and passed)
+        self.last = rows[-1:]
+        return rows[keep]
+
+
+def may_reach(n1, p1, k1, n2, p2, k2):
+    """Length filter, and positional filter for a common shingle (numbers, arrays or columns).
+
+    It lies at positions p1 and p2; k1 and k2 of the shingles before it are held by
+    other classes too. Common shingles are among those, or it, or after both.
     """
     smaller = F.least if isinstance(n1, Column) else np.minimum
-    most = smaller(p1, p2) + 1 + smaller(n1 - p1 - 1, n2 - p2 - 1)
+    most = smaller(k1, k2) + 1 + smaller(n1 - p1 - 1, n2 - p2 - 1)
     return (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1) & ((100 + PERCENT) * most >= PERCENT * (n1 + n2))
 
 
-def _first_round(postings: DataFrame) -> DataFrame:
-    """Rows of kind 0: pairs (a, b); of kind 1: postings of long buckets (a shingle, b class, n, pos)."""
+def _buckets(postings: DataFrame) -> DataFrame:
+    """shingle, cls, n, pos, k: postings of shingles with several classes; k of the class's postings come before."""
     spark = postings.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "cls")
+    names = ["shingle", "cls", "n", "pos"]
 
     def run(batches):
         stream = BucketStream()
         held, size = [], 0
 
         def flush():
-            pairs, rows = stream.take(np.concatenate(held))
-            a = np.concatenate([pairs[:, 0], rows[:, 0]])
-            zero, one = np.zeros(len(pairs), np.int32), np.ones(len(rows), np.int32)
-            return pa.record_batch(
-                [pa.array(np.concatenate([zero, one])), pa.array(a), pa.array(np.concatenate([pairs[:, 1], rows[:, 1]])), pa.array(np.concatenate([zero, rows[:, 2].astype(np.int32)])), pa.array(np.concatenate([zero, rows[:, 3].astype(np.int32)]))],
-                names=["kind", "a", "b", "n", "pos"],
-            )
+            rows = stream.take(np.concatenate(held))
+            return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], names=names)
 
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "cls", "n", "pos")], 1))
+            held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], 1))
             size += len(held[-1])
             if size >= 1 << 18:
                 yield flush()
@@ -278,7 +255,9 @@ def _first_round(postings: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return materialize(dealt.mapInArrow(run, "kind int, a long, b long, n int, pos int"), "candidates")
+    shared = materialize(dealt.mapInArrow(run, "shingle long, cls long, n int, pos int"), "shared")
+    k = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
+    return materialize(shared.withColumn("k", k), "buckets")
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -309,27 +288,25 @@ def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(kept.dropDuplicates(["cls"]), "paired")
 
 
-def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _known(sets: DataFrame) -> DataFrame:
+    """cls, n, odd of every class."""
+    return sets.where("cls is not null").select("cls", "n", "odd").dropDuplicates(["cls"])
+
+
+def may_equal(n1: Column, odd1: Column, n2: Column, odd2: Column) -> Column:
+    """Length and suffix filter: as many ranges of odd counts differ as shingles do, at most."""
+    apart = [F.bit_count(odd1[i].bitwiseXOR(odd2[i])) for i in range(RANGES // 64)]
+    return (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1) & ((100 + PERCENT) * sum(apart[1:], apart[0]) <= (100 - PERCENT) * (n1 + n2))
+
+
+def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of classes that reach the similarity; each is verified once.
 
-    The suffix filter moves counts only; sets move for the pairs that it leaves.
+    Sets move for the pairs only that the suffix filter leaves.
     """
-    known = sets.where("cls is not null").select("cls", "n", "counts").dropDuplicates(["cls"])
     side = lambda of, table, *columns: table.select(F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
-
-    def sift(batches):
-        for batch in batches:
-            nx, ny = batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy()
-            keep = np.zeros(len(nx), bool)
-            if len(nx):
-                cx, cy = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int32) for c in ("counts_x", "counts_y"))
-                # sets differ by at least what their counts differ by
-                most = (nx + ny - np.abs(cx - cy).sum(1)) // 2
-                keep = (100 + PERCENT) * most >= PERCENT * (nx + ny)
-            yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
-
-    near = pairs.join(side("x", known, "n", "counts"), "x").join(side("y", known, "n", "counts"), "y").mapInArrow(sift, "x long, y long")
-    near = materialize(near, "near")
+    near = pairs.join(side("x", known, "n", "odd"), "x").join(side("y", known, "n", "odd"), "y")
+    near = materialize(near.where(may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))).select("x", "y"), "near")
     kept = _sets_of(sets, near)
 
     def verify(batches):
@@ -347,40 +324,94 @@ def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(whole.mapInArrow(verify, "x long, y long"), "links")
 
 
-def _second_round(buckets: DataFrame, component: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs in long buckets whose classes lie in different components, but those ``checked``.
+def _mixed(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
+    """``buckets`` with comp, and main: the largest component of the bucket; buckets of one component are left out."""
+    rows = buckets.withColumn("comp", F.col("cls"))
+    if component is not None:
+        rows = buckets.join(component, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+    per = rows.groupBy("shingle", "comp").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    return rows.join(per.where("comps > 1").drop("comps"), "shingle")
+
+
+_PLACES = ("cls", "n", "pos", "k", "comp")
+
 
-    One member of such a pair is outside the bucket's largest component, so the
-    join matches all postings with those few only.
+def _reach(x: str, y: str) -> Column:
+    return may_reach(*[F.col(f"{c}_{x}") for c in ("n", "pos", "k")], *[F.col(f"{c}_{y}") for c in ("n", "pos", "k")])
+
+
+def _side(rows: DataFrame, of: str, *more: Column) -> DataFrame:
+    return rows.select("shingle", *[F.col(c).alias(f"{c}_{of}") for c in _PLACES], *more)
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("cls_x", "cls_y").alias("x"), F.greatest("cls_x", "cls_y").alias("y")).distinct()
+
+
+def _pivot_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Every posting with its bucket's pivot, if that is of another component.
+
+    A pivot is the class of the least hash of a bucket: buckets with much the same
+    classes have the same pivot, and another one each turn.
     """
-    rows = buckets.join(component, F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-    per = rows.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
-    mixed = rows.join(per.where("comps > 1").drop("comps"), "shingle")
-    x = mixed.select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "comp")], "main")
-    y = mixed.where("comp != main").select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "comp")])
-    met = x.join(y, "shingle").where(
-        (F.col("comp_x") != F.col("comp_y"))
-        & ((F.col("comp_x") == F.col("main")) | (F.col("cls_x") < F.col("cls_y")))
-        & may_reach(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))
-    )
-    found = met.select(F.least("cls_x", "cls_y").alias("x"), F.greatest("cls_x", "cls_y").alias("y")).distinct()
-    return found.join(checked, ["x", "y"], "left_anti")
+    least = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), *_PLACES)).alias("p")
+    pivots = mixed.groupBy("shingle").agg(least).select("shingle", *[F.col(f"p.{c}").alias(f"{c}_y") for c in _PLACES])
+    return _ordered(_side(mixed, "x").join(pivots, "shingle").where((F.col("comp_x") != F.col("comp_y")) & _reach("x", "y")))
+
+
+def _remaining_pairs(mixed: DataFrame, component: DataFrame | None, known: DataFrame) -> DataFrame:
+    """All pairs of a bucket in different components that pass the filters.
+
+    A member of a bucket's largest component meets the bucket's others as a member
+    of that component, once and not once a shingle; the others meet by shingle.
+    The suffix filter is part of both joins.
+    """
+    others = mixed.where("comp != main")
+    members = known if component is None else known.join(component, F.col("cls") == F.col("node"), "left")
+    comp = F.col("cls") if component is None else F.coalesce("component", "cls")
+    members = members.select(comp.alias("main"), F.col("cls").alias("cls_x"), F.col("n").alias("n_x"), F.col("odd").alias("odd_x"))
+    apart = others.select("main", F.col("cls").alias("cls_y")).distinct().join(known.select(F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("odd").alias("odd_y")), "cls_y")
+    equal = may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))
+    first = apart.join(members, "main").where(equal & (F.col("cls_x") != F.col("cls_y")))
+    # a bucket with one other member has no such pair
+    several = others.groupBy("shingle").agg(F.countDistinct("comp").alias("c")).where("c > 1").select("shingle")
+    rest = others.join(several, "shingle", "left_semi").join(known.select("cls", "odd"), "cls")
+    met = _side(rest, "x", F.col("odd").alias("odd_x")).join(_side(rest, "y", F.col("odd").alias("odd_y")), "shingle")
+    second = met.where((F.col("comp_x") != F.col("comp_y")) & (F.col("cls_x") < F.col("cls_y")) & _reach("x", "y") & equal)
+    return _ordered(first.select("cls_x", "cls_y").unionByName(second.select("cls_x", "cls_y")))
+
+
+def _components(sets: DataFrame, buckets: DataFrame) -> DataFrame | None:
+    """node, component of the classes that are linked to another; None if there are none."""
+    component = checked = links = None
+    known = materialize(_known(sets), "known")
+    for turn in range(ROUNDS + 1):
+        mixed = _mixed(buckets, component)
+        pairs = _pivot_pairs(mixed, turn) if turn < ROUNDS else _remaining_pairs(mixed, component, known)
+        if checked is not None:
+            pairs = pairs.join(checked, ["x", "y"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            if turn == ROUNDS:
+                break
+            continue
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        found = _links(sets, known, pairs)
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        component = connected_components(links, "x", "y").checkpoint()
+    return component
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, thash, n_shingles, component_id, grp (equal for rows of one group; null if the set is empty)."""
     sets = document_sets(docs)
-    first = _first_round(_postings(sets))
-    pairs = materialize(first.where("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), "pairs")
-    links = _links(sets, pairs)
-    component = connected_components(links, "x", "y").checkpoint()
-    buckets = first.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("cls"), "n", "pos")
-    more = materialize(_second_round(buckets, component, pairs), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_links(sets, more))
-        component = connected_components(links, "x", "y").checkpoint()
+    component = _components(sets, _buckets(_postings(sets)))
     rows = sets.select("doc_id", "thash", F.col("n").alias("n_shingles"), "cls")
-    full = rows.where("cls is not null").join(component, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
+    full = rows.where("cls is not null").withColumn("grp", F.col("cls"))
+    if component is not None:
+        full = full.join(component, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
     least = full.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
     full = full.select("doc_id", "thash", "n_shingles", "grp").join(least, "grp")
     columns = ["doc_id", "thash", "n_shingles", "component_id", "grp"]
