@@ -119,7 +119,7 @@ def read_families(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     c = F.split("value", "\t")
     rows = spark.read.text(path).where("trim(value) != ''").select(c.alias("c"))
     families = rows.select(F.col("c")[0].cast("long").alias("fam"), F.col("c")[1].alias("mrca"), F.col("c")[2].alias("tree"), F.col("c")[3].try_cast("long").alias("source_fam"))
-    parts = rows.select(F.col("c")[0].cast("long").alias("fam"), F.explode(F.slice("c", 5, F.size("c"))).alias("p")).select("fam", F.split("p", ",").alias("p"))
+    parts = rows.select(F.col("c")[0].cast("long").alias("fam"), F.explode(F.filter(F.slice("c", 5, F.size("c")), lambda x: x != "")).alias("p")).select("fam", F.split("p", ",").alias("p"))
     lf = parts.select(F.col("p")[0].cast("long").alias("lf"), "fam", F.col("p")[1].alias("lf_mrca"), F.col("p")[2].try_cast("long").alias("locus"), F.col("p")[3].alias("root_node"), F.slice("p", 5, F.size("p")).cast("array<long>").alias("genes"))
     return families, lf
 
