@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cladescope.functions.clusters import capped_split
 from cladescope.functions.reconcile import PERMISSIVE, Costs, Reconciliation, best_rooting, gene_history, split_by_origin
-from cladescope.functions.trees import Tree, Unrooted, neighbour_joining, parse_newick, to_newick
+from cladescope.functions.trees import Tree, Unrooted, forced_split, neighbour_joining, parse_newick, split_long_branches, to_newick
 from cladescope.operators.graph import connected_components
 
 
@@ -67,7 +67,46 @@ def gene_trees(distances: DataFrame, members: DataFrame) -> DataFrame:
     return members.groupBy("fam").cogroup(far.groupBy("of_fam")).applyInPandas(build, "fam long, newick string")
 
 
-_EVENT = "fam long, gene_node string, nb string, ord int, event string, sp_node string, sp_nb string, locus long"
+def split_threshold(trees: DataFrame, quantile: float = 0.95, times: float = 1.5) -> float:
+    """``times`` the quantile of the longest branches of trees (newick) of ortholog sets; infinite without any."""
+
+    def longest(batches):
+        for batch in batches:
+            found = [max(Unrooted.of(parse_newick(t, "g")).length.values(), default=0.0) for t in batch["newick"]]
+            yield pd.DataFrame({"x": found})
+
+    x = trees.select("newick").mapInPandas(longest, "x double").agg(F.percentile("x", quantile)).first()[0]
+    return float("inf") if x is None else float(x) * times
+
+
+def initial_families(trees: DataFrame, sets: DataFrame, longest: float, cap: int, balance: float = 10.0) -> DataFrame:
+    """fam, part, newick, genes: trees (fam, newick) cut at branches over ``longest``, and on until no part exceeds ``cap``.
+
+    No ortholog set (grp, gene) of a family is parted. A family is one task's row.
+    """
+
+    def cut(key, tree: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        groups = [set(g["gene"].astype(str)) for _, g in own.groupby("grp")]
+        rows = []
+        for newick in tree["newick"]:
+            whole = parse_newick(newick, "g")
+            todo = split_long_branches(Unrooted.of(whole), longest, groups) if len(whole.leaves()) > 2 else []
+            if not todo:
+                rows.append((newick, whole.leaves()))
+            while todo:
+                now = todo.pop()
+                halves = forced_split(now, groups, balance) if len(now.leaves()) > cap else None
+                if halves:
+                    todo += halves
+                elif len(now.leaves()) < 2:
+                    rows.append((f"{now.leaves()[0]};", now.leaves()))
+                else:
+                    rows.append((to_newick(now.rooted(*now.branches()[0], root="g_root")), now.leaves()))
+        rows.sort(key=lambda r: sorted(r[1]))
+        return pd.DataFrame({"fam": key[0], "part": range(len(rows)), "newick": [r[0] for r in rows], "genes": [sorted(r[1]) for r in rows]})
+
+    inside = sets.select(F.col("fam").alias("of_fam"), "grp", "gene")
+    return trees.groupBy("fam").cogroup(inside.groupBy("of_fam")).applyInPandas(cut, "fam long, part int, newick string, genes array<string>")
 
 
 def reconcile(families: DataFrame, species_newick: str, costs: Costs = Costs(), rooted: bool = False) -> DataFrame:

@@ -125,7 +125,7 @@ def synteny_scores(pairs: DataFrame, neighbours: DataFrame, edges: DataFrame, ta
 
 
 def core_synteny(context1: Column, context2: Column) -> Column:
-    """Common core genes over the longer context's length; 0 if either is empty... or both."""
+    """Common core genes over the longer context's length; 0 if both are empty."""
     longest = F.greatest(F.size(context1), F.size(context2))
     return F.when(longest > 0, F.size(F.array_intersect(context1, context2)) / longest).otherwise(F.lit(0.0))
 
