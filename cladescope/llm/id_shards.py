@@ -128,7 +128,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder(dict):
-    """piece -> bytes of its ids, encoded by the library when first met; ``older`` is the generation before."""
+    """word -> bytes of the ids of a blank and the word, encoded when first met; ``older`` is the generation before.
+
+    Pieces without the leading blank are in ``bare``.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -139,38 +142,57 @@ class PieceEncoder(dict):
         self.model = self.library.model
         self.letters = _byte_letters()
         self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    @staticmethod
+    def simple(text: str) -> bool:
+        """Whether every blank of ``text`` stands between two characters that aren't white space."""
+        if not text or text[0] == " " or text[-1] == " " or "  " in text:
+            return False
+        if text.isprintable():
+            return True  # no other white space
+        return " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Parts of ``text`` that the pre-tokeniser never joins: cut before a space between two other characters."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return [text] if text else []
-        out = [parts[0], *map(" ".__add__, parts[1:])]
-        # a blank neighbour: white space belongs together, so those parts stay whole
-        plain = text.replace("\n", "").isprintable()  # then \n and the space are all its white space
-        if not plain or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-            joined = [out[0]]
-            for p in out[1:]:
-                last = joined[-1]
-                if len(p) < 2 or p[1].isspace() or not last or last[-1].isspace():
-                    joined[-1] = last + p
-                else:
-                    joined.append(p)
-            out = joined
+        """Parts that the pre-tokeniser never joins: cut before a blank between two characters that aren't white space."""
+        out: list[str] = []
+        for i, part in enumerate(text.split(" ")):
+            piece = " " + part if i else part
+            if i and (not part or part[0].isspace() or not out[-1] or out[-1][-1].isspace()):
+                out[-1] += piece
+            else:
+                out.append(piece)
         return out
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self) > CACHE:
             self.older = dict(self)
             self.clear()
-        return [b"".join(map(self.__getitem__, self.pieces(t))) + end for t in texts]
+        if len(self.bare) > CACHE // 4:
+            self.bare.clear()
+        get, out = self.__getitem__, []
+        for text in texts:
+            if self.simple(text):
+                words = iter(text.split(" "))
+                out.append(self._piece(next(words)) + b"".join(map(get, words)) + end)
+            else:
+                out.append(b"".join(map(self._piece, self.pieces(text))) + end)
+        return out
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._fresh(" " + word)
+        self[word] = ids
+        return ids
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        if piece[:1] == " ":
+            return self[piece[1:]]
+        ids = self.bare.get(piece)
         if ids is None:
-            ids = self._fresh(piece)
-        self[piece] = ids
+            ids = self.bare[piece] = self._fresh(piece) if piece else b""
         return ids
 
     def _fresh(self, piece: str) -> bytes:
@@ -179,14 +201,14 @@ class PieceEncoder(dict):
         A word is one match, and so is a comma or full stop after it; ASCII pieces
         are matched by the pre-tokeniser's own pattern; the library does the rest.
         """
-        word = piece[1:] if piece[:1] == " " else piece
+        word = piece[1:] if piece[0] == " " else piece
         if word.isalpha():
             return self._one(piece)
         if word[-1:] in (",", ".") and word[:-1].isalpha():
-            return self[piece[:-1]] + self[word[-1]]
+            return self._piece(piece[:-1]) + self._piece(word[-1])
         if piece.isascii():
             matches = _MATCH.findall(piece)
-            return self._one(piece) if len(matches) == 1 else b"".join([self[m] for m in matches])
+            return self._one(piece) if len(matches) == 1 else b"".join(map(self._piece, matches))
         return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _one(self, match: str) -> bytes:
