@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+#: Rows with long texts or sets go to Python in batches of this size.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session's Arrow batches are bounded from here on."""
+    spark.conf.set(*_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: While a table is written: a finished query's shuffle files go at once, and Arrow batches of long rows stay small.
-_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+_WHILE = dict([("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), _BATCH])
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -44,6 +52,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for a worker that lives on: what its batches took goes back to the system at the end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4 = 2; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

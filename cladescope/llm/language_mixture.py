@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladescope.llm.common import held_out
+from cladescope.llm.common import held_out, lean
 from cladescope.llm.textscan import slices
 
 #: Hash values of trigrams; documents of a label in the sample; bytes handled at once.
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "gram": at.astype("int32"), "n": n[at]})
 
-    table = sample.mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = sample.mapInPandas(lean(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for lang, part in table.groupby("lang"):
         counts[lang] = np.bincount(part["gram"], part["n"], GRAMS)
@@ -198,4 +198,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>")
+    return slim.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>")

@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladescope.llm.common import lean
 from cladescope.llm.textscan import slices
 
 # Fixed values of the SentencePiece model format.
 SPACE_SYMBOL = "▁".encode()
-UNKNOWN, BYTE = 2, 6  # piece types
+# Fields of the model: its normaliser, and there the character map, whether a blank is
+# put first, whether extra blanks go, and whether blanks are written as the symbol.
+NORMALIZER, SETTINGS = 3, (2, 3, 4, 5)
 REPLACEMENT = "�".encode()
 
 
@@ -121,19 +124,50 @@ class Normalizer:
         return size, data[at : at + size]
 
 
+def _fields(message: bytes):
+    """(number, value) of a message's fields: numbers or bytes."""
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    at = 0
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7)
+            if size is None:
+                size = number()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def normalizer_spec(model: bytes) -> dict:
+    """The normaliser's settings from the model's bytes, without objects for its pieces."""
+    spec = dict(_fields(next((v for k, v in _fields(model) if k == NORMALIZER), b"")))
+    blob, *flags = (spec.get(k, default) for k, default in zip(SETTINGS, (b"", 1, 1, 1)))
+    return dict(zip(("blob", "dummy_prefix", "squeeze", "escape"), (blob, *map(bool, flags))))
+
+
 class PieceCodec:
     """One loaded model: ids, spans in original bytes, and the decoded text."""
 
     def __init__(self, path: str):
         import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        proto = sentencepiece_model_pb2.ModelProto()
-        proto.ParseFromString(self.library.serialized_model_proto())
-        spec = proto.normalizer_spec
-        self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        self.sizes = np.array([1 if p.type == BYTE else -1 if p.type == UNKNOWN else len(p.piece.encode()) for p in proto.pieces])
+        self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.normalize = Normalizer(**normalizer_spec(library.serialized_model_proto()))
+        ids = list(range(library.get_piece_size()))
+        self.sizes = np.array([1 if library.is_byte(i) else -1 if library.is_unknown(i) else len(p.encode()) for i, p in zip(ids, library.id_to_piece(ids))])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
@@ -164,7 +198,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 #: Characters of text encoded at once; a longer text is encoded alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -189,7 +223,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return slim.mapInArrow(lean(run), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
 def with_digests(encoded: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladescope.llm.common import materialize
+from cladescope.llm.common import lean, materialize
 from cladescope.llm.textscan import mix, odd_numbers, scan_words, slices
 from cladescope.storage import shared_dir
 
@@ -95,7 +95,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([cut.column("doc_id"), cut.column("lang"), cut.column("source"), *stats], names=["doc_id", "lang", "source", *names])
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), docs["text"].alias("text"))
-    rows = slim.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    rows = slim.mapInArrow(lean(run), "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names))
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     rows = rows.withColumns(
         {
@@ -163,7 +163,7 @@ def _inverted(moments: DataFrame, factor: float) -> DataFrame:
                 inverses.append(np.linalg.inv(scatter).ravel().tolist())
             yield batch[["grp", "rows"]].assign(centre=centres, inverse=inverses)
 
-    return moments.mapInPandas(run, "grp string, rows long, centre array<double>, inverse array<double>")
+    return moments.mapInPandas(lean(run), "grp string, rows long, centre array<double>, inverse array<double>")
 
 
 def _moments(rows: DataFrame) -> DataFrame:

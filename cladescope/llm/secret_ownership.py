@@ -148,7 +148,7 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark: s
     back; all other texts pass without a shuffle.
     """
     names = docs.columns
-    doc = F.struct(*[docs[c] for c in names]).alias("doc")
+    doc = F.struct(*[docs[f"`{c}`"].alias(c) for c in names]).alias("doc")
     rows = docs.select(doc, docs[owner].cast("string").alias("owner"), docs[repo].cast("string").alias("repo"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = _with_spans(rows)
     each = materialize(rows.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans").alias("s")).select("owner", "repo", "s.hash", "s.live"), "secrets")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladescope.llm.common import materialize
+from cladescope.llm.common import lean, materialize
 from cladescope.llm.textscan import mix, odd_numbers, scan_words, slices
 from cladescope.operators.graph import connected_components
 
@@ -51,7 +51,7 @@ WORDS, PERCENT = 5, 80
 #: Rounds with a pivot before the exact one.
 ROUNDS = 3
 #: Rows of the table of frequent shingles, and shingles counted together in search of them.
-FREQUENT, COUNTED = 400_000, 1 << 22
+FREQUENT, COUNTED = 400_000, 1 << 21
 #: Ranges of the hash whose parities the suffix filter compares (a multiple of 64); bits of the sieve.
 RANGES, SIEVE_BITS = 512, 1 << 25
 _PLACE = odd_numbers(6, WORDS)
@@ -119,7 +119,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("thash"), docs["text"].alias("text"))
-    return materialize(slim.mapInArrow(run, "doc_id long, thash long, n long, cls long, odd array<long>, packed binary"), "shingles")
+    return materialize(slim.mapInArrow(lean(run), "doc_id long, thash long, n long, cls long, odd array<long>, packed binary"), "shingles")
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +129,12 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held, size = [], 0
 
         def found():
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(s[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "seen"])
+            s = np.concatenate(held)
+            held.clear()
+            s.sort()
+            begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            n = np.diff(np.append(begin, len(s)))
+            return pa.record_batch([pa.array(s[begin[n > 1]].astype(np.int64)), pa.array(n[n > 1])], names=["shingle", "seen"])
 
         for batch in batches:
             for b in batch.column("packed").to_pylist():
@@ -138,11 +142,11 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 size += len(held[-1])
                 if size >= COUNTED:
                     yield found()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield found()
 
-    seen = sets.select("packed").mapInArrow(run, "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
+    seen = sets.select("packed").mapInArrow(lean(run), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
     table = seen.where("seen > 8").orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow()
     shingle, n = table["shingle"].to_numpy().astype(np.uint64), table["seen"].to_numpy()
     order = np.argsort(shingle)
@@ -190,7 +194,7 @@ def _postings(sets: DataFrame) -> DataFrame:
                 names=["shingle", "cls", "n", "pos"],
             )
 
-    return sets.select("cls", "packed").mapInArrow(run, "shingle long, cls long, n int, pos int")
+    return sets.select("cls", "packed").mapInArrow(lean(run), "shingle long, cls long, n int, pos int")
 
 
 class BucketStream:
@@ -255,7 +259,7 @@ def _buckets(postings: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    shared = materialize(dealt.mapInArrow(run, "shingle long, cls long, n int, pos int"), "shared")
+    shared = materialize(dealt.mapInArrow(lean(run), "shingle long, cls long, n int, pos int"), "shared")
     k = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
     return materialize(shared.withColumn("k", k), "buckets")
 
@@ -284,7 +288,7 @@ def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("cls"), batch.column("packed")], names=["cls", "packed"]).take(pa.array(fresh, pa.int64()))
 
     bit = F.pmod(F.xxhash64("cls"), F.lit(SIEVE_BITS)).cast("int").alias("bit")
-    kept = sets.where("cls is not null").select("cls", "packed", bit).mapInArrow(run, "cls long, packed binary")
+    kept = sets.where("cls is not null").select("cls", "packed", bit).mapInArrow(lean(run), "cls long, packed binary")
     return materialize(kept.dropDuplicates(["cls"]), "paired")
 
 
@@ -321,7 +325,7 @@ def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     whole = near.join(side("x", kept, "packed"), "x").join(side("y", kept, "packed"), "y")
-    return materialize(whole.mapInArrow(verify, "x long, y long"), "links")
+    return materialize(whole.mapInArrow(lean(verify), "x long, y long"), "links")
 
 
 def _mixed(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
@@ -429,7 +433,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = groups.where("grp is not null").groupBy("grp").agg(F.min(key).alias("k"))
     chosen = chosen.select(F.coalesce("k.doc_id", F.lit(-1)).alias("kept_id"), F.col("k.none").alias("kept_none"), F.col("k.thash").alias("kept_hash"))
     empty = groups.where("grp is null").select(F.coalesce("doc_id", F.lit(-1)).alias("kept_id"), F.col("doc_id").isNull().alias("kept_none"), F.col("thash").alias("kept_hash")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("kept_id"), docs["doc_id"].isNull().alias("kept_none"), F.xxhash64(docs["text"]).alias("kept_hash"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("kept_id"), docs["doc_id"].isNull().alias("kept_none"), F.xxhash64(docs["text"]).alias("kept_hash"))
     keys = ["kept_id", "kept_none", "kept_hash"]
     once = rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select("doc.*")
     return once.unionByName(rows.join(empty, keys, "left_semi").select("doc.*"))

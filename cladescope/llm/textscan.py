@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Characters of text handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

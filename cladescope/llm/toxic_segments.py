@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cladescope.llm.common import held_out
+from cladescope.llm.common import held_out, lean
 
 PER_CLASS, LEXICON = 8000, 20_000
 #: Lengths of beginnings; least documents, z-score and log-odds of one with evidence; strength of the prior; tokens of one document that count.
@@ -42,7 +43,9 @@ SHORTEST, LONGEST = 4, 12
 LEAST_DRIFT = 0.01
 LEAST_DOCS, LEAST_Z, LEAST_ODDS, PRIOR, MOST_TOKENS = 4, 5.0, 1.0, 20.0, 5
 #: Segments up to this p-value are significant. Decision threshold of the contract. Words that a process keeps scored.
-SIGNIFICANT, THRESHOLD, KNOWN = 0.01, 0.3, 400_000
+SIGNIFICANT, THRESHOLD, KNOWN = 0.01, 0.3, 150_000
+#: Words and beginnings that a task counts before it hands the counts on.
+FLUSH = 150_000
 _WORD = re.compile(r"\w+")
 
 
@@ -238,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
                     row = sums.setdefault(b, [0, 0, 0, 0])
                     row[toxic] += 1
                     row[2 + toxic] += min(n, MOST_TOKENS)
-            if len(sums) > 500_000:
+            if len(sums) > FLUSH:
                 yield found()
                 sums.clear()
         yield found()
@@ -251,12 +254,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
 
     try:
         teach = rows.where("part > 0")
-        sizes = {r["toxic"]: r for r in teach.mapInPandas(count_tokens, "toxic int, n long").groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).collect()}
+        sizes = {r["toxic"]: r for r in teach.mapInPandas(lean(count_tokens), "toxic int, n long").groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).collect()}
         if len(sizes) < 2:
             return ToxicityModel()
         n1, n0 = sizes[1]["docs"], sizes[0]["docs"]
         names = ("c", "t", "c_tokens", "t_tokens")
-        table = teach.mapInPandas(count_words, "word string, c long, t long, c_tokens long, t_tokens long").groupBy("word").agg(*[F.sum(x).alias(x) for x in names])
+        table = teach.mapInPandas(lean(count_words), "word string, c long, t long, c_tokens long, t_tokens long").groupBy("word").agg(*[F.sum(x).alias(x) for x in names])
         # clearly more frequent in toxic documents, and in enough of them; the z-score decides below
         odd = table.where((F.col("t") >= LEAST_DOCS) & (F.col("t") * n0 > 2 * F.col("c") * n1))
         found = odd.orderBy(F.desc(F.col("t") / n1 - F.col("c") / n0), "word").limit(LEXICON).toPandas()
@@ -271,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
                 yield pd.DataFrame({"toxic": batch["toxic"], "hits": hits})
 
         # a word outside the lexicon is so much likelier in a clean text
-        seen = {r["toxic"]: r["hits"] / max(sizes[r["toxic"]]["tokens"], 1) for r in teach.mapInPandas(rate, "toxic int, hits long").groupBy("toxic").agg(F.sum("hits").alias("hits")).collect()}
+        seen = {r["toxic"]: r["hits"] / max(sizes[r["toxic"]]["tokens"], 1) for r in teach.mapInPandas(lean(rate), "toxic int, hits long").groupBy("toxic").agg(F.sum("hits").alias("hits")).collect()}
         first = replace(first, drift=max(LEAST_DRIFT, 1.5 * (seen[1] - seen[0])))
 
         def measure(batches):
@@ -281,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
                 out = [(t, *first.segments(x)) for t, x in zip(batch["toxic"], batch["text"])]
                 yield pd.DataFrame({"toxic": [t for t, *_ in out], "n": [n for _, n, _ in out], "found": [[s for *_, s in f] for *_, f in out]})
 
-        held = rows.where("part = 0").mapInPandas(measure, "toxic int, n long, found array<double>").toPandas()
+        held = rows.where("part = 0").mapInPandas(lean(measure), "toxic int, n long, found array<double>").toPandas()
     finally:
         rows.unpersist()
     if held["toxic"].nunique() < 2:
@@ -321,11 +324,11 @@ def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFram
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     slim = [docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text")]
-    schema = "doc_id long, held_out boolean, score double, predicted int, n_passages int, passages array<struct<first:long,after:long,evidence:double>>"
+    schema = StructType.fromDDL("doc_id long, held_out boolean, score double, predicted int, n_passages int, passages array<struct<first:long,after:long,evidence:double>>")
     if keep:
-        slim.append(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-        schema += f", doc {docs.select(slim[-1]).schema[0].dataType.simpleString()}"
-    return docs.select(*slim).mapInArrow(run, schema)
+        slim.append(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("doc"))
+        schema = schema.add(docs.select(slim[-1]).schema["doc"])
+    return docs.select(*slim).mapInArrow(lean(run), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

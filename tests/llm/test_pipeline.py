@@ -44,3 +44,20 @@ def test_stages(spark, tmp_path):
     want = sorted((r.doc_id, hashlib.sha256(",".join(map(str, model.encode(r.text))).encode()).hexdigest()) for r in into.collect())
     assert sorted((r.doc_id, r.ids_sha256) for r in out.collect()) == want
     assert P.run(spark, D).count() == len(want)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    text = "these are plain words of a clean text that nobody would remove from a corpus at all"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " ", "en", "a", 1), (4, text, "en", "a", 80), (4, text, "en", "a", 80), (None, text + " more", None, "b", None), (6, "word " * 100_000, "de", None, 5), (7, "token=q7w8e9r1t2y3u4i5o6p0", "en", "b", 1)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, doc string, `predicted x` int, score double")
+    for name, stage in P.STAGES:
+        stage(spark, docs, D).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name != P.STAGES[-1][0]:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        if name in ("toxicity", "secret_scans", "piece_encoding"):
+            assert len(got) == len(rows), name
+        if name == "ngram_jaccard_join":  # the two equal rows and the nearly equal one are a group
+            assert sorted((r.doc_id or 0) for r in got) == [1, 2, 3, 4, 6, 7]
+        assert stage(spark, docs.limit(0), D).count() == 0, name

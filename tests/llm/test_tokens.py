@@ -78,13 +78,8 @@ def test_pieces_equal_the_library(spark, table):
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 def test_character_map_walk_equals_the_library(rule):
     import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2
-
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
-    proto = sentencepiece_model_pb2.ModelProto()
-    proto.ParseFromString(library.serialized_model_proto())
-    spec = proto.normalizer_spec
-    ours = piece_codec.Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+    ours = piece_codec.Normalizer(**piece_codec.normalizer_spec(library.serialized_model_proto()))
     for text in [t for t in ODD if t] + ["ﬁﬂ ① Ａ㌀ é é", " ｶﾞ  x ", "ÄÖ ß"]:
         normal, back = ours(text.encode())
         assert normal.decode() == library.normalize(text)
