@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from cladescope.llm.common import materialize, n_words
 
 #: Draws per document from which a source's Bernoulli seed is chosen.
-SEEDS = 16
+SEEDS = 64
 
 
-def _draw(doc_id: Column, seed: int) -> Column:
-    """Uniform number in [0, 1): 32 bits of a SHA-256 of the id and the seed's block."""
-    digest = F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(str(seed // 8))), 256)
-    return F.conv(F.substring(digest, seed % 8 * 8 + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def _draw(doc_id: Column, seed: Column) -> Column:
+    """Uniform number in [0, 1): 32 bits of a SHA-256 of the id and the seed's block of eight."""
+    block = F.floor(seed / 8).cast("string")
+    digest = F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), block), 256)
+    return F.conv(F.substring(digest, (seed % 8 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -83,7 +84,7 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
 def _seeds(rated: DataFrame) -> DataFrame:
     """source, seed: the seed of the source's Bernoulli draws."""
     part = F.col("rate") - F.floor("rate")
-    sums = [F.sum(F.when(_draw(F.col("doc_id"), k) < part, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)]
+    sums = [F.sum(F.when(_draw(F.col("doc_id"), F.lit(k)) < part, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)]
     per = rated.groupBy("source").agg(F.first("source_size").alias("n"), F.first("target").alias("t"), F.first("rate").alias("r"), *sums)
     off = [F.struct(F.abs(F.floor("r") * F.col("n") + F.col(f"s{k}") - F.col("t")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)]
     return per.select(F.col("source").alias("seed_source"), F.least(*off)["seed"].alias("seed"))
@@ -91,7 +92,7 @@ def _seeds(rated: DataFrame) -> DataFrame:
 
 def _with_copies(rated: DataFrame, seeds: DataFrame) -> DataFrame:
     rows = rated.join(seeds, F.col("source").eqNullSafe(F.col("seed_source"))).drop("seed_source")
-    draw = F.element_at(F.array(*[_draw(F.col("doc_id"), k) for k in range(SEEDS)]), F.col("seed") + 1)
+    draw = _draw(F.col("doc_id"), F.col("seed"))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     return rows.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
@@ -105,7 +106,7 @@ def emit(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.
     slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     per = source_targets(slim, weights, most)
     seeds = _seeds(_with_rate(slim, per))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"))
     rows = _with_copies(_with_rate(rows, per), seeds).where("copies > 0")
     return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
@@ -126,12 +127,11 @@ t AS (
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
 d AS (
-  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS part,
-    sha256(coalesce(doc_id::VARCHAR, 'null') || ':0') AS h0, sha256(coalesce(doc_id::VARCHAR, 'null') || ':1') AS h1
+  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS part
   FROM sizes s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
 u AS (
-  SELECT *, ('0x' || substr(CASE WHEN k < 8 THEN h0 ELSE h1 END, (k % 8) * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x
-  FROM d, range(16) g(k)),
+  SELECT *, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || ':' || (k // 8)), ((k % 8) * 8 + 1)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS x
+  FROM d, range(64) g(k)),
 p AS (
   SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN x < part THEN size ELSE 0 END) - any_value(target)) AS off
   FROM u GROUP BY source, k),
