@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladescope.llm.common import materialize
+from cladescope.llm.common import lean, materialize
 
 #: Ids after which a shard is closed, and pieces that a process keeps encoded.
 SHARD_IDS, CACHE = 1 << 18, 400_000
@@ -212,7 +212,10 @@ class PieceEncoder(dict):
         return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _one(self, match: str) -> bytes:
-        spelled = "".join(map(self.letters.__getitem__, match.encode()))
+        if match.isascii() and match[1:].isalnum() and (match[0] == " " or match[0].isalnum()):
+            spelled = match.replace(" ", self.letters[32])
+        else:
+            spelled = "".join(map(self.letters.__getitem__, match.encode()))
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
@@ -259,7 +262,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-s
         if rows:
             yield shard()
 
-    return materialize(ordered.mapInArrow(run, "part int, seq int, doc_ids array<long>, n_ids long, shard binary"), label)
+    return materialize(ordered.mapInArrow(lean(run), "part int, seq int, doc_ids array<long>, n_ids long, shard binary"), label)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -280,7 +283,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     names=["part", "seq", "doc_id", "begin", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shards.select("part", "seq", "doc_ids", "shard").mapInArrow(run, "part int, seq int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "doc_ids", "shard").mapInArrow(lean(run), "part int, seq int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy(F.col("part").alias("p")).agg(F.sum("n_ids").alias("n")).withColumn("before_part", F.coalesce(F.sum("n").over(over), F.lit(0)))
