@@ -10,6 +10,7 @@ import __spark_entry__
 from cladescope import streaming
 from cladescope.functions.reconcile import Costs
 from cladescope.operators import families, graph, hits, islands, order, reports, scores, tree
+from cladescope.plans import registry
 
 
 def test_filter_is_strict(spark):
@@ -163,6 +164,15 @@ def test_queries_without_sql_run(spark, name):
     assert known[name](spark, SMALL).count() > 0
 
 
+def test_every_order_is_reconciled(spark):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
+    want: dict = {}
+    for r in lines:
+        want.setdefault(r.l_orderkey, set()).add(str(r.l_partkey))
+    got = registry._recon_input(spark, SMALL).select("fam", "genes.gene").collect()
+    assert len(got) == len(want) and {r.fam: set(r.gene) for r in got} == want
+
+
 def test_costs_add_up(spark):
     rows = __spark_entry__.queries()["reconciliation"](spark, SMALL).collect()
     assert all(r.cost == r.chosen_cost and int(r.n_mprs) > 0 for r in rows)
