@@ -102,18 +102,26 @@ def greedy_matching(candidates: list[tuple[float, int, int]], take: int) -> floa
     return total / take
 
 
-def synteny_scores(pairs: DataFrame, neighbours: DataFrame, edges: DataFrame, take: int = 3) -> DataFrame:
+def synteny_scores(pairs: DataFrame, neighbours: DataFrame, edges: DataFrame, take: int = 3, runs: DataFrame | None = None) -> DataFrame:
     """g1, g2, syn_sc: how well the genes around one match those around the other.
 
     pairs (g1, g2); neighbours (gene, neighbours); edges (g1, g2, raw_sc). The
     candidates are joined by edge, at most one per pair of neighbours; the greedy
-    choice among a pair's few candidates is one small array per row.
+    choice among a pair's few candidates is one small array per row. ``runs`` (gene,
+    run) puts every gene into a run; a pair meets the edges between the runs of its
+    neighbours, so runs of genes that lie together save rows and change no score.
     """
-    a = neighbours.select(F.col("gene").alias("g1"), F.posexplode("neighbours").alias("i", "x"))
-    b = neighbours.select(F.col("gene").alias("g2"), F.posexplode("neighbours").alias("j", "y"))
+    if runs is None:
+        runs = neighbours.select(F.explode("neighbours").alias("gene")).distinct().withColumn("run", F.col("gene"))
+    there = neighbours.select("gene", "neighbours", F.explode("neighbours").alias("x")).join(runs.select(F.col("gene").alias("x"), "run"), "x")
+    there = there.groupBy("gene").agg(F.first("neighbours").alias("near"), F.collect_set("run").alias("runs"))
+    a = there.select(F.col("gene").alias("g1"), F.col("near").alias("near1"), F.col("runs").alias("runs1"))
+    b = there.select(F.col("gene").alias("g2"), F.col("near").alias("near2"), F.col("runs").alias("runs2"))
     both = edges.select(F.col("g1").alias("x"), F.col("g2").alias("y"), "raw_sc")
-    both = both.unionByName(both.where("x != y").select(F.col("y").alias("x"), F.col("x").alias("y"), "raw_sc"))
-    met = pairs.select("g1", "g2").join(a, "g1").join(both, "x").join(b, ["g2", "y"])
+    both = both.join(runs.select(F.col("gene").alias("x"), F.col("run").alias("r1")), "x").join(runs.select(F.col("gene").alias("y"), F.col("run").alias("r2")), "y")
+    both = both.unionByName(both.where("x != y").select(F.col("y").alias("x"), F.col("x").alias("y"), "raw_sc", F.col("r2").alias("r1"), F.col("r1").alias("r2")))
+    asked = pairs.select("g1", "g2").join(a, "g1").join(b, "g2").withColumn("r1", F.explode("runs1")).withColumn("r2", F.explode("runs2"))
+    met = asked.join(both, ["r1", "r2"]).select("g1", "g2", "raw_sc", (F.array_position("near1", F.col("x")) - 1).alias("i"), (F.array_position("near2", F.col("y")) - 1).alias("j")).where("i >= 0 and j >= 0")
     found = met.groupBy("g1", "g2").agg(F.collect_list(F.struct("raw_sc", "i", "j")).alias("c"))
 
     def run(batches):

@@ -28,6 +28,13 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 4).alias("strain"))
 
 
+def part_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """strain, contig, pos, gene of the parts, whose hits are known: a contig is a brand's parts of a strain, by number."""
+    pos = F.row_number().over(Window.partitionBy("strain", "contig").orderBy("gene")) - 1
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 4).alias("strain"), F.col("p_brand").alias("contig"), F.col("p_partkey").alias("gene"))
+    return p.select("strain", "contig", pos.alias("pos"), "gene")
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed hits among parts of one order, all numbers whole."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("n"))  # noqa: E741

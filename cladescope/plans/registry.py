@@ -401,13 +401,10 @@ def raw_scores(spark, d):
 
 @query()
 def synteny_scores(spark, d):
-    o = A.gene_order(spark, d)
-    near = order.synteny_neighbours(o, 8)
-    e = A.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    a = e.select("event_type", F.col("event_id").alias("g1"), F.col("value").alias("v1"), F.floor("value").alias("k"))
-    b = e.select("event_type", F.col("event_id").alias("g2"), F.col("value").alias("v2"), F.floor("value").alias("k"))
-    edges = a.join(b, ["event_type", "k"]).where("g1 < g2 and g2 - g1 < 200").select("g1", "g2", (1 / (1 + F.abs(F.col("v1") - F.col("v2")))).alias("raw_sc"))
-    return scores.synteny_scores(edges.select("g1", "g2"), near, edges)
+    o = A.part_order(spark, d)
+    edges = _edges(spark, d)
+    runs = o.select("gene", F.xxhash64("strain", "contig", F.floor(F.col("pos") / 8)).alias("run"))
+    return scores.synteny_scores(edges, order.synteny_neighbours(o, 8), edges.withColumn("raw_sc", F.col("raw_sc").cast("double")), runs=runs)
 
 
 SPECIES = "(((A:1,B:1)s2:1,C:2)s1:1,D:3)s0;"

@@ -10,6 +10,7 @@ import __spark_entry__
 from cladescope import streaming
 from cladescope.functions.reconcile import Costs
 from cladescope.operators import families, graph, hits, islands, order, reports, scores, tree
+from cladescope.plans import adapters as A
 from cladescope.plans import registry
 
 
@@ -72,6 +73,16 @@ def test_synteny_scores(spark):
     assert got[1, 2] == pytest.approx((0.9 + 0.5) / 3) and got[1, 1] == 0.0
 
 
+def test_every_edge_gets_a_synteny_score(spark):
+    near = {r.gene: r.neighbours for r in order.synteny_neighbours(A.part_order(spark, SMALL), 8).collect()}
+    raw = {(r.g1, r.g2): float(r.raw_sc) for r in registry._edges(spark, SMALL).collect()}
+    got = {(r.g1, r.g2): r.syn_sc for r in __spark_entry__.queries()["synteny_scores"](spark, SMALL).collect()}
+    assert set(got) == set(raw) and any(b - a >= 100 for a, b in got)
+    for a, b in raw:
+        found = [(raw[min(x, y), max(x, y)], i, j) for i, x in enumerate(near[a]) for j, y in enumerate(near[b]) if (min(x, y), max(x, y)) in raw]
+        assert got[a, b] == pytest.approx(scores.greedy_matching(found, 3))
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (4, 4), (None, 7)], "a long, b long")
     assert sorted(graph.connected_components(e).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
