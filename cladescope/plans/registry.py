@@ -438,13 +438,21 @@ def origin_families(spark, d):
     return found.select("source_fam", "root", "mrca", "locus", F.size("genes").alias("n_genes"), F.size("families").alias("n_families"))
 
 
+#: A leaf for each of the five strains of the gene order.
+STRAINS = "((((A:1,B:1)s3:1,C:2)s2:1,D:3)s1:1,E:4)s0;"
+
+
+def _locus_order(spark, d):
+    return A.gene_order(spark, d).withColumn("strain", F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("strain") + 1).cast("int")))
+
+
 @query()
 def locus_islands(spark, d):
-    o = A.gene_order(spark, d).where("strain < 4").withColumn("strain", F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("strain") + 1).cast("int")))
+    o = _locus_order(spark, d)
     members = o.select((F.col("gene") % 400).alias("lf"), "strain", "gene")
     near = islands.near_families(members, order.proximity(o, 2), 2)
-    mrca = F.element_at(F.array(*map(F.lit, ["s2", "s1", "s0", "A"])), (F.col("lf") % 4 + 1).cast("int"))
-    return islands.make_islands(members.select("lf").distinct().withColumn("mrca", mrca), near, SPECIES).select("id", "mrca", _text("lfs"))
+    mrca = F.element_at(F.array(*map(F.lit, ["s3", "s2", "s1", "s0", "A"])), (F.col("lf") % 5 + 1).cast("int"))
+    return islands.make_islands(members.select("lf").distinct().withColumn("mrca", mrca), near, STRAINS).select("id", "mrca", _text("lfs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -136,6 +136,15 @@ def test_islands_table(spark):
     assert islands.size_table(got).count() == 2
 
 
+def test_locus_islands_take_every_event(spark, tmp_path):
+    rows = [(1 + i, user, "click", f"2026-01-01 00:00:{i:02d}", 1.0) for i, user in enumerate([4, 4, 9, 9])]  # strain 4 only
+    events = spark.createDataFrame([(g + 2, *r) for g, *r in rows], "event_id long, user_id long, event_type string, ts string, value double")
+    both = events.withColumn("event_id", events.event_id * 5 - 2)  # families of the root
+    both.selectExpr("event_id", "user_id", "event_type", "cast(ts as timestamp) ts", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.mrca, r.lfs) for r in __spark_entry__.queries()["locus_islands"](spark, str(tmp_path)).collect())
+    assert got == [("s0", "13,18"), ("s0", "23,28")]
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([(1, "abc", None), (2, "x", "zab")], "gene long, name string, descrip string")
     assert [r.gene for r in reports.search(rows, ["name", "descrip"], "ab").orderBy("gene").collect()] == [1, 2]
