@@ -11,7 +11,8 @@ the shared folder, since executors reach shared storage through Spark only.
 Encoding is exact and local to words: with this pre-tokeniser every match starts
 at a single space that stands between two non-spaces, so the pieces between such
 places are encoded by the library on their own, each distinct piece once a task
-while it stays in the bounded cache.
+while it stays in the bounded cache. With ``added`` the library's added tokens
+are matched, as it does when loaded: it encodes the texts that hold one itself.
 
 Defined cases: a null text is empty, a document without tokens still has the end
 id; a null doc_id sorts first; rows of equal id are ordered by their texts; an
@@ -133,12 +134,13 @@ class PieceEncoder(dict):
     Pieces without the leading blank are in ``bare``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.model = self.library.model
         self.letters = _byte_letters()
         self.older: dict[str, bytes] = {}
@@ -173,7 +175,9 @@ class PieceEncoder(dict):
             self.bare.clear()
         get, out = self.__getitem__, []
         for text in texts:
-            if self.simple(text):
+            if any(m in text for m in self.marks):
+                out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() + end)
+            elif self.simple(text):
                 words = iter(text.split(" "))
                 out.append(self._piece(next(words)) + b"".join(map(get, words)) + end)
             else:
@@ -220,13 +224,14 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, added: bool = False) -> PieceEncoder:
+    return PieceEncoder(path, added)
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-shards") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-shards", added: bool = False) -> DataFrame:
     """Encode ``docs`` in ascending doc_id order and write shards; returns the table that holds them.
 
+    Added tokens in a text are ordinary characters unless ``added``.
     Rows: first_id, part, seq (order of the shards), doc_ids, n_ids, shard.
     """
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -238,7 +243,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-s
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        model, part, seq = encoder(path, added), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         rows: list[bytes] = []
         held = 0

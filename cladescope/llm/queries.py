@@ -49,7 +49,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op8_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = id_shards.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    shards = id_shards.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), added=True)
     return id_shards.read_shards(shards)
 
 

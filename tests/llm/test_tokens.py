@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cladescope.llm import id_shards, piece_codec
-from cladescope.llm.queries import tokenizer_path
+from cladescope.llm.queries import op8_id_shards, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "  two  spaces ", "a\n\nb \n c", "tab\tand\x0b\x0c\r\n", "naïve 日本語 🙂 don't it's", "x" * 5000, "<|endoftext|> end", "a b" * 3000, " nbsp  em", "same", "same", "\x1c sep \x85 nel"]
@@ -39,6 +39,22 @@ def test_shards_equal_the_library(spark, whole, table):
     assert got == want
 
 
+def test_query_matches_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = ["before", f"a {mark} b", mark, f"{mark}{mark}", f"x{mark}y  {mark}\n", f"don't {mark[:-1]} é {mark}z", "after", *[t or "" for t in ODD]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert library.encode(texts[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert sorted(tuple(r) for r in op8_id_shards(spark, str(tmp_path)).collect()) == want
+
+
 def test_empty_table(spark):
     docs = odd(spark).limit(0)
     assert id_shards.read_shards(id_shards.write_shards(docs, tokenizer_path("byte_bpe_50k.json"))).count() == 0
