@@ -55,6 +55,8 @@ UNLIKELY = frozenset(
 )
 LIKELY = frozenset("article content main body post entry story text page container wrapper".split())
 NEVER = frozenset("comment comments commentlist disqus replies reply respond reader-comments cookie cookies advert advertisement".split())
+# Words that make a name with one of NEVER a state of the element, as in has-comments and comments-open.
+STATE = frozenset("has with open closed enabled disabled".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -78,7 +80,11 @@ def _attributes(text: str) -> tuple[frozenset[str], bool]:
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
     words = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return frozenset(w.lower() for w in _NAME.findall(words)) if words.strip() else frozenset(), hidden
+    names: set[str] = set()
+    for word in words.split():
+        parts = {w.lower() for w in _NAME.findall(word)}
+        names |= parts - NEVER if parts & STATE else parts
+    return frozenset(names), hidden
 
 
 def parse(html: str) -> Node:
@@ -130,13 +136,23 @@ def _open_closes(node: Node, kinds: frozenset[str], limits: frozenset[str]) -> N
     return out
 
 
+def _inside(node: Node, tag: str) -> bool:
+    up = node.parent
+    while up is not None and up.tag != tag:
+        up = up.parent
+    return up is not None
+
+
 def _removed(node: Node, in_article: bool) -> bool:
-    if node.hidden or node.tag in REMOVED or node.names & NEVER:
+    if node.hidden or node.tag in REMOVED:
+        return True
+    if node.tag in ("html", "body", "main", "article", "#root"):
+        # their names are states of the page, but an article inside another may be a comment
+        return node.tag == "article" and bool(node.names & NEVER) and _inside(node, "article")
+    if node.names & NEVER:
         return True
     if node.tag == "header":
         return not in_article
-    if node.tag in ("html", "body", "main", "article", "#root") or not node.names:
-        return False
     return bool(node.names & UNLIKELY) and not node.names & LIKELY
 
 

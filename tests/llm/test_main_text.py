@@ -56,3 +56,17 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars, r.n_chars == len(r.text)) for r in M.main_texts(pages).collect())
     assert got == [(0, 1, True), (1, 0, True), (2, 0, True), (3, len(PARA), True), (3, len(PARA), True), (4, 599_999, True)]
     assert M.main_texts(pages.limit(0)).count() == 0
+
+
+def test_states_in_names_keep_the_article():
+    inner = f"<h1>Title</h1><p>{PARA}</p><p>{PARA}</p>"
+    want = f"Title {PARA} {PARA}"
+    assert M.extract(f"<html class='cookie-consent'><body class='single comments-open'><article class='post has-comments'>{inner}</article></body></html>") == want
+    for mark in ("single comments-open", "cookie-consent", "no-comments", "reply", "advert"):
+        for tag in ("html", "body", "main", "article"):
+            page = f"<html><body><main><article>{inner}</article></main></body></html>".replace(f"<{tag}>", f"<{tag} class='{mark}'>")
+            assert M.extract(page) == want, (tag, mark)
+    assert M.extract(f"<body><div class='post has-comments'>{inner}</div></body>") == want
+    for furniture in ("<div class='comment-body'>", "<div class='cookie-consent'>", "<section id='comments' class='container'>", "<article class='comment'>"):
+        close = furniture[1:].split()[0]
+        assert M.extract(f"<body><article>{inner}{furniture}<p>{PARA}</p></{close}></article></body>") == want, furniture
