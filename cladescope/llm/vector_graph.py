@@ -176,8 +176,8 @@ def _usable(vectors: DataFrame) -> DataFrame:
 def build_index(vectors: DataFrame, shard_rows: int = SHARD, ids: int = NEAREST + 1) -> DataFrame:
     """dim, shard, n, ids (smallest ``ids`` of each node, flat with counts), vectors, layers: a row per shard."""
     first = Window.partitionBy("key", "vector").orderBy("vec_id")
-    # the rank is cut before the shuffle as well, so copies of one vector don't meet in numbers
-    few = _usable(vectors).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ids + 4)
+    # rows that repeat go first, so a rank is an id's; it is cut before the shuffle as well, so copies of one vector don't meet in numbers
+    few = _usable(vectors).dropDuplicates(["vec_id", "key", "vector"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ids)
     few = few.groupBy("key", "vector").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, ids).alias("ids"))
     distinct = materialize(few.withColumn("dim", F.size("vector")), "vectors")
     shards = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))

@@ -57,3 +57,14 @@ def test_copies_and_odd_vectors(spark):
     assert V.search_index(V.build_index(vectors.limit(0)), vectors.limit(0)).count() == 0
     one = vectors.where("vec_id = 1")
     assert V.search_index(V.build_index(one), one).count() == 0
+
+
+def test_repeated_rows_take_no_places(spark):
+    common = [1.0, 2.0, 3.0, 4.0]
+    rows = [(i, common) for i in range(300)] * 2 + [(0, common)] * 20 + [(1000 + i, [4.0, 3.0, 2.0, float(i)]) for i in range(10)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in V.search_index(V.build_index(vectors), vectors.where("vec_id in (0, 3, 200)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: [x for x, _ in v] for q, v in got.items()} == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 200: [0, 1, 2, 3, 4]}
+    assert all(abs(s - 1) < 1e-12 for v in got.values() for _, s in v)
