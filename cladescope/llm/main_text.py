@@ -2,16 +2,17 @@
 
 A page is parsed to a tree without the parts that never are the article. Every
 paragraph earns points for its length and commas, discounted by the share of its
-text inside links, and passes them to its ancestors: all to the parent, half to
-the next, and less above. The best container stands for the article (the nearest
+text inside links, and passes them to its nearest ancestors: all to the parent,
+half to the next, and less above. The best container stands for the article (the nearest
 ``article`` or ``main`` above it, if there is one); siblings that score like it
 or look like its paragraphs are kept with it.
 
 Pages are independent: one pass, no shuffle, memory bounded by one batch and one
-page; pages are never cut.
+page; pages are never cut, and the work grows with a page's length, not with its depth.
 
 Defined cases: a null or empty html gives the empty text; broken or unclosed
-markup is read as far as it goes; a page without a scored paragraph gives the
+markup is read as far as it goes (tags end as in browsers, but a quote that is
+never closed is an ordinary character); a page without a scored paragraph gives the
 text of its article, main or body as it is left after removal; other columns are
 ignored; repeated rows give a row each; an empty table gives an empty one.
 """
@@ -19,6 +20,7 @@ ignored; repeated rows give a row each; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ from cladescope.llm.common import lean
 # HTML's elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-REMOVED = frozenset("head script style noscript template title nav aside footer form button select option textarea input iframe object embed svg canvas audio video map dialog menu fieldset label xmp noembed noframes".split())
+REMOVED = frozenset("head script style noscript template title nav aside header footer form button select option textarea input iframe object embed svg canvas audio video map dialog menu fieldset label xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -55,19 +57,23 @@ UNLIKELY = frozenset(
 )
 LIKELY = frozenset("article content main body post entry story text page container wrapper".split())
 NEVER = frozenset("comment comments commentlist disqus replies reply respond reader-comments cookie cookies advert advertisement".split())
-# Words that make a name with one of NEVER a state of the element, as in has-comments and comments-open.
-STATE = frozenset("has with open closed enabled disabled".split())
+# Words that only say which part of such an element a name means; with others beside, as in side-effects, a name means something else.
+PART = frozenset("area bar block body bottom box button buttons center column container content float fixed form group header icon inner item items left link links list main outer panel row section slot sticky top unit wrap wrapper right site page global primary secondary".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Least characters of a paragraph that scores, points a hundred characters, and the share of the best score that keeps a sibling.
+# A tag ends as in browsers: only a value may hold the sign, and only in quotes that follow the equals sign and are closed.
+_TAG = r"<([a-zA-Z][^\s/>]*+)((?>[\s/]++|=?[^\s/>=]++(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)=?(?:>|\Z)"
+_TOKEN = re.compile(r"<!--(?>>|->|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[a-zA-Z][^>]*+(?:>|\Z)|" + _TAG)
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]++)(?>\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+#: Least characters of a paragraph that scores, most points for its length, and the share of the best score that keeps a sibling.
 LEAST_TEXT, MOST_POINTS, SIBLING = 25, 3.0, 0.2
+#: Ancestors that a paragraph's points reach; least links and most characters of one in a menu, and the least share of its text in links.
+LEVELS, MENU_LINKS, MENU_TEXT, MENU_DENSITY = 6, 3, 24, 0.9
 
 
 class Node:
     __slots__ = ("tag", "names", "parent", "parts", "score", "hidden")
 
-    def __init__(self, tag: str, names: frozenset[str], parent: "Node | None", hidden: bool):
+    def __init__(self, tag: str, names: frozenset[str], hidden: bool, parent: "Node | None"):
         self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
         self.parts: list[Node | str] = []
         self.score = 0.0
@@ -80,62 +86,84 @@ def _attributes(text: str) -> tuple[frozenset[str], bool]:
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
     words = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    names: set[str] = set()
-    for word in words.split():
-        parts = {w.lower() for w in _NAME.findall(word)}
-        names |= parts - NEVER if parts & STATE else parts
-    return frozenset(names), hidden
+    return frozenset(w for word in words.split() for w in _meaning(word)), hidden
+
+
+def _meaning(name: str) -> set[str]:
+    """The words of a name that tell what the element is: the name itself, or one of its words beside parts of an element."""
+    if name.lower() in UNLIKELY | NEVER | LIKELY:
+        return {name.lower()}
+    words = {w.lower() for w in _NAME.findall(name)}
+    telling = words & (UNLIKELY | NEVER)
+    return words if telling and words <= UNLIKELY | NEVER | PART else words - UNLIKELY - NEVER
+
+
+class _Open:
+    """The open elements: the innermost, and how many of each kind, so that a tag without its like walks nowhere."""
+
+    def __init__(self, root: Node):
+        self.node, self.count = root, Counter()
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.count[node.tag] += 1
+
+    def leave_to(self, node: Node) -> None:
+        while self.node is not node:
+            self.count[self.node.tag] -= 1
+            self.node = self.node.parent
+
+    def close(self, tag: str) -> None:
+        """Leave the nearest open ``tag``, if one is open."""
+        if self.count[tag]:
+            up = self.node
+            while up.tag != tag:
+                up = up.parent
+            self.leave_to(up.parent)
+
+    def make_room(self, kinds: frozenset[str], limits: frozenset[str]) -> None:
+        """Leave the outermost open element of the kinds within the limits."""
+        left = sum(self.count[k] for k in kinds)
+        up, out = self.node, self.node
+        while left and up is not None and up.tag not in limits:
+            if up.tag in kinds:
+                out = up.parent
+                left -= 1
+            up = up.parent
+        self.leave_to(out)
 
 
 def parse(html: str) -> Node:
-    root = node = Node("#root", frozenset(), None, False)
+    root = Node("#root", frozenset(), False, None)
+    opened = _Open(root)
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
-            node.parts.append(unescape(html[at:]))
+            opened.node.parts.append(unescape(html[at:]))
             break
         if m.start() > at:
-            node.parts.append(unescape(html[at : m.start()]))
+            opened.node.parts.append(unescape(html[at : m.start()]))
         at = m.end()
         if m[1] is None:
             if m[0].startswith("</"):
-                node = _close(node, re.split(r"[\s/>]", m[0][2:], maxsplit=1)[0].lower())
+                opened.close(re.split(r"[\s/>]", m[0][2:], maxsplit=1)[0].lower())
             continue
-        tag, rest = m[1].lower(), m[2]
-        for kinds in (CLOSES.get(tag),):
-            if kinds:
-                node = _open_closes(node, kinds, LIMITS.get(tag, SCOPE))
-        names, hidden = _attributes(rest)
-        child = Node(tag, names, node, hidden)
-        node.parts.append(child)
+        tag = m[1].lower()
+        if kinds := CLOSES.get(tag):
+            opened.make_room(kinds, LIMITS.get(tag, SCOPE))
+        child = Node(tag, *_attributes(m[2]), parent=opened.node)
+        opened.node.parts.append(child)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             if tag not in REMOVED:
                 child.parts.append(html[at : close.start() if close else end])
             at = close.end() if close else end
         elif tag not in VOID:
-            node = child
+            opened.enter(child)
     return root
 
 
-def _close(node: Node, tag: str) -> Node:
-    """The parent of the nearest open ``tag``; ``node`` if none is open."""
-    up = node
-    while up is not None and up.tag != tag:
-        up = up.parent
-    return up.parent if up is not None and up.parent is not None else node
-
-
-def _open_closes(node: Node, kinds: frozenset[str], limits: frozenset[str]) -> Node:
-    up, out = node, node
-    while up is not None and up.tag not in limits:
-        if up.tag in kinds:
-            out = up.parent
-        up = up.parent
-    return out
-
-
 def _inside(node: Node, tag: str) -> bool:
     up = node.parent
     while up is not None and up.tag != tag:
@@ -143,7 +171,7 @@ def _inside(node: Node, tag: str) -> bool:
     return up is not None
 
 
-def _removed(node: Node, in_article: bool) -> bool:
+def _removed(node: Node) -> bool:
     if node.hidden or node.tag in REMOVED:
         return True
     if node.tag in ("html", "body", "main", "article", "#root"):
@@ -151,20 +179,16 @@ def _removed(node: Node, in_article: bool) -> bool:
         return node.tag == "article" and bool(node.names & NEVER) and _inside(node, "article")
     if node.names & NEVER:
         return True
-    if node.tag == "header":
-        return not in_article
     return bool(node.names & UNLIKELY) and not node.names & LIKELY
 
 
 def prune(root: Node) -> None:
     """Take out what is never the article."""
-    stack = [(root, False)]
+    stack = [root]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        kept = [x for x in node.parts if isinstance(x, str) or not _removed(x, inside)]
-        node.parts = kept
-        stack += [(x, inside) for x in kept if not isinstance(x, str)]
+        node = stack.pop()
+        node.parts = [x for x in node.parts if isinstance(x, str) or not _removed(x)]
+        stack += [x for x in node.parts if not isinstance(x, str)]
 
 
 def _order(root: Node) -> list[Node]:
@@ -177,18 +201,18 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def _measure(root: Node) -> dict[int, tuple[int, int]]:
-    """id(node) -> characters of its text, and of those inside links."""
-    sizes: dict[int, tuple[int, int]] = {}
+def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
+    """id(node) -> characters of its text, of those inside links, and its links."""
+    sizes: dict[int, tuple[int, int, int]] = {}
     for node in reversed(_order(root)):
-        total = linked = 0
+        total = linked = links = 0
         for x in node.parts:
             if isinstance(x, str):
                 total += len(x.strip())
             else:
-                a, b = sizes[id(x)]
-                total, linked = total + a, linked + b
-        sizes[id(node)] = (total, total if node.tag == "a" else linked)
+                a, b, c = sizes[id(x)]
+                total, linked, links = total + a, linked + b, links + c
+        sizes[id(node)] = (total, total, links + 1) if node.tag == "a" else (total, linked, links)
     return sizes
 
 
@@ -204,7 +228,7 @@ def _own_text(node: Node) -> str:
     return "".join(out).strip()
 
 
-def score(root: Node, sizes: dict[int, tuple[int, int]]) -> list[Node]:
+def score(root: Node, sizes: dict[int, tuple[int, int, int]]) -> list[Node]:
     """Score the ancestors of every paragraph; returns the scored nodes in page order."""
     nodes = _order(root)
     for node in nodes:
@@ -213,18 +237,18 @@ def score(root: Node, sizes: dict[int, tuple[int, int]]) -> list[Node]:
         text = _own_text(node)
         if len(text) < LEAST_TEXT:
             continue
-        total, linked = sizes[id(node)]
+        total, linked, _ = sizes[id(node)]
         points = (1 + text.count(",") + text.count("、") + min(len(text) / 100, MOST_POINTS)) * (1 - linked / max(total, 1))
         share, up = 1.0, node.parent if node.tag not in ("div", "section", "article", "main", "body") else node
         level = 0
-        while up is not None and up.tag not in ("html", "#root"):
+        while up is not None and up.tag not in ("html", "#root") and level < LEVELS:
             up.score += points * share
             level += 1
             share = 0.5 if level == 1 else 1 / (3 * level)
             up = up.parent
     for node in nodes:
         if node.score:
-            total, linked = sizes[id(node)]
+            total, linked, _ = sizes[id(node)]
             node.score *= 1 - linked / max(total, 1)
     return [n for n in nodes if n.score > 0]
 
@@ -256,7 +280,7 @@ def article_nodes(root: Node) -> list[Node]:
     for x in best.parent.parts:
         if isinstance(x, str):
             continue
-        total, linked = sizes[id(x)]
+        total, linked, _ = sizes[id(x)]
         density = linked / max(total, 1)
         like = x.score >= max(5.0, SIBLING * best.score)
         paragraph = x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and total and density < 0.25 and best.tag not in ("article", "main")
@@ -265,13 +289,12 @@ def article_nodes(root: Node) -> list[Node]:
     return keep
 
 
-def _menu(node: Node, sizes: dict[int, tuple[int, int]]) -> bool:
-    """A block inside the article that is links and nothing else."""
+def _menu(node: Node, sizes: dict[int, tuple[int, int, int]]) -> bool:
+    """A block inside the article that is short links and nothing else; lists of linked titles or references are longer."""
     if node.tag not in ("ul", "ol", "div", "section", "table", "dl"):
         return False
-    total, linked = sizes[id(node)]
-    links = sum(x.tag == "a" for x in _order(node))
-    return links >= 3 and linked > 0.8 * total
+    total, linked, links = sizes[id(node)]
+    return links >= MENU_LINKS and linked > MENU_DENSITY * total and linked <= MENU_TEXT * links
 
 
 def text_of(nodes: list[Node]) -> str:

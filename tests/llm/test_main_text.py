@@ -1,5 +1,7 @@
 """Extraction on pages with every kind of furniture, broken markup and odd rows."""
 
+import pytest
+
 from cladescope.llm import main_text as M
 
 PARA = "This is a sentence of the article, with commas, and enough words to count as text."
@@ -23,7 +25,7 @@ def test_furniture_goes():
 
 def test_sections_and_inline_marks():
     body = f"<article><header><h1>Head</h1></header><section><p>{PARA}</p></section><section><h2>Sub</h2><p>Sh<b>or</b>t <a href=x>link</a><br>line</p><ul><li>one</li><li>two</li></ul><pre>a  b\n c</pre></section><aside>aside</aside></article>"
-    assert M.extract(FURNITURE.format(body=body)) == f"Head {PARA} Sub Short link line one two a b c"
+    assert M.extract(FURNITURE.format(body=body)) == f"{PARA} Sub Short link line one two a b c"
 
 
 def test_broken_markup():
@@ -70,3 +72,41 @@ def test_states_in_names_keep_the_article():
     for furniture in ("<div class='comment-body'>", "<div class='cookie-consent'>", "<section id='comments' class='container'>", "<article class='comment'>"):
         close = furniture[1:].split()[0]
         assert M.extract(f"<body><article>{inner}{furniture}<p>{PARA}</p></{close}></article></body>") == want, furniture
+
+
+@pytest.mark.parametrize(
+    ("tag", "text"),
+    [
+        ('<p title="a" b">', "hello"), ("<p data-x=don't>", "hello"), ('<p title="a>', "hello"), ("<p title='a > b'>", "hello"), ("<p a=b=c / x>", "hello"),
+        ('<p =">', "hello"), ("<p\n\tclass = 'x'\n>", "hello"), ("<p / >", "hello"), ("<!--> --><p>", "--> hello"), ("<p a==>", "hello"),
+    ],
+)
+def test_tags_end_as_in_browsers(tag, text):
+    assert M.extract(f"<article>{tag}hello</p></article>") == text
+
+
+def test_names_are_read_whole():
+    body = "The treatment was well borne by most, though some of them, as ever, were not sure of it."
+    for name in ("side-effects", "notice-period", "share-price", "adult", "header-file", "commentary", "searchlight"):
+        assert M.extract(f"<article><p>{body}</p><div class='{name}'><p>More of it.</p></div></article>") == f"{body} More of it.", name
+    for name in ("sidebar", "sidebar-left", "cookie-banner", "site-nav", "adSlot", "comment-list", "newsletter_signup", "related-links"):
+        assert M.extract(f"<article><p>{body}</p><div class='{name}'><p>More of it.</p></div></article>") == body, name
+
+
+def test_headers_and_references():
+    body = "The treatment was well borne by most, though some of them, as ever, were not sure of it."
+    assert M.extract(f"<article><header><h1>T</h1>By A. Writer</header><p>{body}</p></article>") == body
+    title = "On the slow growth of things that nobody had looked at"
+    refs = "".join(f"<li><a href='/{k}'>{title} {k}</a></li>" for k in range(3))
+    assert M.extract(f"<article><p>{body}</p><ul>{refs}</ul></article>") == f"{body} {title} 0 {title} 1 {title} 2"
+    menu = "".join(f"<li><a href='/{k}'>Part {k}</a></li>" for k in range(5))
+    assert M.extract(f"<article><p>{body}</p><ul>{menu}</ul></article>") == body
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "deep text, and some more of it here" + "</div>" * 50_000, "<span>" * 20_000 + "<p>x" * 20_000, "<b>" * 30_000 + "</i>" * 30_000 + "tail", "<ul><li>" * 20_000 + "item", "<p a='" * 30_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    begin = time.perf_counter()
+    M.extract(page)
+    assert time.perf_counter() - begin < 5
