@@ -49,7 +49,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables whose last reader is done; others than those of ``materialize`` are left alone."""
+    for table in tables:
+        if path := getattr(table, "shared_path", None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lean(run: Callable) -> Callable:

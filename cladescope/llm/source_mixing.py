@@ -5,8 +5,9 @@ document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with
 probability equal to the fraction.
 
 Scale: the corpus is read once to size the documents and aggregated map-side to
-one row per source, so a source that holds most rows is no hot key. The plan has
-one row per source; Spark broadcasts it only while its measured size allows.
+one row per source, so a source that holds most rows is no hot key. The plan, one
+row per source, is written and counted: up to FEW sources it is broadcast, so no
+text moves by its source; beyond, rows meet it by source and salt.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ranked last; a null doc_id hashes as the text ``null``; repeated rows count and
@@ -21,10 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladescope.llm.common import materialize, n_words
+from cladescope.llm.common import discard, materialize, n_words
 
 #: Draws per document from which a source's Bernoulli seed is chosen.
 SEEDS = 64
+#: Sources whose rows are broadcast.
+FEW = 20_000
 
 
 def _draw(doc_id: Column, seed: Column) -> Column:
@@ -64,9 +67,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> D
     return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def _with_rate(sizes: DataFrame, per: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` (source) with the columns of their source's row in the written table ``per``."""
     own = per.withColumnRenamed("source", "per_source")
-    return sizes.join(own, F.col("source").eqNullSafe(F.col("per_source"))).drop("per_source")
+    same = F.col("source").eqNullSafe(F.col("per_source"))
+    if per.count() <= FEW:
+        return rows.join(F.broadcast(own), same).drop("per_source")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.withColumn("per_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(parts)).cast("int"))
+    return salted.join(own, same & (F.col("salt") == F.col("per_salt"))).drop("per_source", "per_salt", "salt")
+
+
+def source_rates(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
+    """source, source_size, target, rate, seed of every source, written."""
+    per = materialize(source_targets(sizes, weights, most), "targets")
+    return materialize(per.join(_seeds(_meet(sizes, per)), F.col("source").eqNullSafe(F.col("seed_source"))).drop("seed_source"), "rates")
 
 
 def mixing_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -77,8 +93,7 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     draw with the fraction's probability, and reruns agree.
     """
     sizes = materialize(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size")), "sizes")
-    rated = _with_rate(sizes, source_targets(sizes, weights, most))
-    return _with_copies(rated, _seeds(rated))
+    return _with_copies(_meet(sizes, source_rates(sizes, weights, most)))
 
 
 def _seeds(rated: DataFrame) -> DataFrame:
@@ -90,8 +105,7 @@ def _seeds(rated: DataFrame) -> DataFrame:
     return per.select(F.col("source").alias("seed_source"), F.least(*off)["seed"].alias("seed"))
 
 
-def _with_copies(rated: DataFrame, seeds: DataFrame) -> DataFrame:
-    rows = rated.join(seeds, F.col("source").eqNullSafe(F.col("seed_source"))).drop("seed_source")
+def _with_copies(rows: DataFrame) -> DataFrame:
     draw = _draw(F.col("doc_id"), F.col("seed"))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     return rows.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
@@ -100,14 +114,15 @@ def _with_copies(rated: DataFrame, seeds: DataFrame) -> DataFrame:
 def emit(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the plan takes it, same columns.
 
-    Only the per-source rows are joined to the documents, so no text is shuffled
-    by id. A row's own columns travel in a struct: their names can't clash.
+    Only the per-source rows are joined to the documents, so no text is shuffled.
+    A row's own columns travel in a struct: their names can't clash. Nulls, empty
+    texts and repeated rows are as in ``mixing_plan``.
     """
-    slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    per = source_targets(slim, weights, most)
-    seeds = _seeds(_with_rate(slim, per))
+    sizes = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    rates = source_rates(sizes, weights, most)
+    discard(sizes)
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"))
-    rows = _with_copies(_with_rate(rows, per), seeds).where("copies > 0")
+    rows = _with_copies(_meet(rows, rates)).where("copies > 0")
     return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 

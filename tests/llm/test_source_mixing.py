@@ -61,3 +61,17 @@ def test_emit(spark):
     want = sorted(x for r in plan for x in [(r.doc_id or 0, next(t or "" for i, t, _ in rows if i == r.doc_id))] * r.copies)
     assert got == want
     assert X.emit(docs.limit(0)).count() == 0 and X.mixing_plan(docs.limit(0)).count() == 0
+
+
+def test_no_text_moves_by_its_source(spark):
+    plan = X.emit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_sources(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = sorted(X.mixing_plan(docs).collect(), key=str)
+    mixed = sorted(X.emit(docs).collect(), key=str)
+    monkeypatch.setattr(X, "FEW", 0)
+    assert sorted(X.mixing_plan(docs).collect(), key=str) == first
+    assert sorted(X.emit(docs).collect(), key=str) == mixed
