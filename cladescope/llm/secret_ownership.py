@@ -9,8 +9,8 @@ and become spans of kind ``bare`` only where that count shows them as live.
 In ``documents`` the owner is the source and a document is a repository of its
 owner.
 
-Scale: one scan of the text writes a table of candidates (no text, no raw
-values). Frequencies are counted in two steps, first per value, owner and
+Scale: one scan of the text writes a table of candidates (no raw values; the
+texts only where they are masked next). Frequencies are counted in two steps, first per value, owner and
 repository, then per value, both with map-side aggregation, so a value copied
 into a third of all rows is no hot task. Verdicts return by joins on the value's
 hash, where Spark may split a frequent one, and on row numbers of the written
@@ -24,7 +24,7 @@ them). Matching is leftmost and non-overlapping per kind; offsets are code point
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladescope.llm.common import materialize
@@ -51,10 +51,16 @@ def _pattern(pattern: str, group: int, least: int) -> str:
     return f"{pattern[:-1]}{{{least - len(pattern.split('[')[0])},}}"
 
 
+#: Matches that are put together at once, and code points of a text's parts.
+BLOCK, PART = 256, 4096
+
+
 def _spans(hits: Column, values: Column, before: Column, least: int) -> Column:
     """Spans of all matches: array of (start, end, value), values of at least ``least`` characters.
 
-    ``before`` holds the texts between the matches: they and the matches give the offsets.
+    ``before`` holds the texts between the matches: they and the matches give the
+    offsets. Matches are added up BLOCK by BLOCK, so the work grows with their
+    number and not with its square.
     """
     rows = F.slice(F.arrays_zip(hits.alias("hit"), values.alias("value"), before.alias("before")), 1, F.size(hits))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
@@ -64,7 +70,13 @@ def _spans(hits: Column, values: Column, before: Column, least: int) -> Column:
         end = begin + F.char_length(x["hit"])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    def add_block(done: Column, block: Column) -> Column:
+        at = F.element_at(done, -1)["at"]
+        return F.concat(done, F.array(F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step)))
+
+    first = F.array(F.struct(F.lit(0).alias("at"), none.alias("spans")))
+    blocks = F.transform(F.array(rows), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: F.slice(x, i * BLOCK + 1, BLOCK)))
+    found = F.aggregate(F.element_at(blocks, 1), first, add_block, lambda done: F.flatten(F.transform(done, lambda x: x["spans"])))
     return F.when(F.size(hits) > 0, F.filter(found, lambda s: F.char_length(s["value"]) >= least)).otherwise(none)
 
 
@@ -144,28 +156,55 @@ def digests(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live or shared secret's span replaced by ``mark`` (n_chars follows); same columns.
 
-    Only rows with something to mask take part in the join that brings the spans
-    back; all other texts pass without a shuffle.
+    The patterns run once a text: rows and their spans are written, and read again
+    for the verdicts. Only rows with a span to mask take part in the join that
+    brings the cuts back; all other texts pass without a shuffle. Spans that
+    overlap are one cut. Null and empty texts stay as they are; equal rows are cut alike.
     """
     names = docs.columns
     doc = F.struct(*[docs[f"`{c}`"].alias(c) for c in names]).alias("doc")
     rows = docs.select(doc, docs[owner].cast("string").alias("owner"), docs[repo].cast("string").alias("repo"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = _with_spans(rows)
-    each = materialize(rows.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans").alias("s")).select("owner", "repo", "s.hash", "s.live"), "secrets")
-    masked = ownership(each).where("verdict != 'example'").select(F.col("hash").alias("masked"))
-    having = rows.where(F.size("spans") > 0).withColumn("row", F.struct(F.xxhash64("text"), F.xxhash64("repo", "owner")))
-    hit = having.select("row", F.explode("spans").alias("s")).join(masked, F.col("s.hash") == F.col("masked"), "left_semi")
-    hit = hit.groupBy(F.col("row").alias("hit_row")).agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end"))).alias("cuts"))
-    having = having.join(hit, F.col("row") == F.col("hit_row"), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("out"))
-
-    rest = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    having = having.withColumn("text", F.when(F.col("cuts").isNotNull(), rest).otherwise(F.col("doc")["text"]))
+    rows = materialize(_with_spans(rows).select(F.monotonically_increasing_id().alias("row"), "doc", "owner", "repo", "spans"), "spans")
+    some = rows.where(F.size("spans") > 0)
+    each = some.select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
+    # written, so that Spark may split the rows of a frequent value
+    masked = materialize(ownership(each).where("verdict != 'example'").select(F.col("hash").alias("masked")), "masked")
+    hit = each.select("row", "start", "end", "hash").join(masked, F.col("hash") == F.col("masked"), "left_semi")
+    # a span that starts before the largest end so far belongs to the cut before
+    before = Window.partitionBy("row").orderBy("start", "end")
+    hit = hit.withColumn("reached", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    hit = hit.withColumn("cut", F.sum((F.coalesce("reached", F.lit(0)) <= F.col("start")).cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = hit.groupBy("row", "cut").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = hit.groupBy(F.col("row").alias("hit_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    cut = some.select("row", "doc").join(cuts, F.col("row") == F.col("hit_row"), "left")
+    text = F.when(F.col("cuts").isNotNull(), _without(F.col("doc")["text"], F.col("cuts"), mark)).otherwise(F.col("doc")["text"])
+    cut = cut.select("doc", "cuts", text.alias("text"))
     fields = {c: F.col("doc")[c] for c in names} | {"text": F.col("text")}
     if "n_chars" in names:
         fields["n_chars"] = F.when(F.col("cuts").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"])
-    return rows.where(F.size("spans") == 0).select("doc.*").unionByName(having.select(*[v.alias(k) for k, v in fields.items()]))
+    return rows.where(F.size("spans") == 0).select("doc.*").unionByName(cut.select(*[v.alias(k) for k, v in fields.items()]))
+
+
+def _without(text: Column, cuts: Column, mark: str) -> Column:
+    """``text`` with the mark for every cut (start, end; ascending, apart).
+
+    What stays between two cuts is taken from parts of PART code points, so each
+    is found without a walk from the text's start.
+    """
+
+    def between(parts: Column, begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / PART).cast("int"), F.floor(end / PART).cast("int")
+        inside = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+        return F.substring(inside, begin - first * PART + 1, end - begin)
+
+    def pieces(x: Column) -> Column:
+        parts, cut, n = x["parts"], x["cuts"], F.size(x["cuts"])
+        at = lambda k, end: F.element_at(cut, k)["end" if end else "start"]
+        return F.transform(
+            F.sequence(F.lit(0), n),
+            lambda i: between(parts, F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)), True)), F.when(i == n, x["size"]).otherwise(at(F.least(i + 1, n), False))),
+        )
+
+    # the one-element array binds the parts, so they are made once a text
+    bound = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("parts"), cuts.alias("cuts"), F.char_length(text).alias("size")))
+    return F.array_join(F.element_at(F.transform(bound, pieces), 1), mark)

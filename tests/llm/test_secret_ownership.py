@@ -83,3 +83,33 @@ def test_redact_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.text or "") for r in S.redact(docs).collect())
     assert got == [(0, ""), (1, ""), (2, "[SECRET]"), (2, "[SECRET]"), (3, "é [SECRET] [SECRET]"), (4, "clean")]
     assert S.redact(docs.limit(0)).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square; the mask against plain slicing."""
+    n = 100_000
+    text = " ".join(f"token=a1b2c3d4e5f6{i:06d}" for i in range(n))
+    docs = table(spark, [(1, text, "en", "s", len(text), "", 0, 0)])
+    row = S.digests(S.find_secrets(docs)).first()
+    assert (row.n_assign, row.n_hex, row.n_access) == (n, n, 0) and row.base_sha256 == digest(base(text))
+    assert S.redact(docs).first().text == " ".join(["[SECRET]"] * n)
+
+
+def test_redact_equals_slicing(spark):
+    import random
+
+    rng = random.Random(4)
+    made = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFG", k=k))
+    texts = []
+    for i in range(30):
+        parts = [rng.choice(["é", "日本", "plain words", "x" * rng.choice([10, 5000]), f"token={made(24)}", f"secret: AKIA{made(20).upper()}", made(30)]) for _ in range(rng.randrange(40))]
+        texts.append(rng.choice([" ", "\n", "; "]).join(parts))
+    docs = table(spark, [(i, t, "en", f"s{i}", len(t), "", 0, 0) for i, t in enumerate(texts)])
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.verdict != "example"] for r in S.find_secrets(docs).collect()}
+    for r in S.redact(docs).collect():
+        out, at = "", 0
+        for a, b in sorted(spans[r.doc_id]):
+            if a >= at:
+                out += texts[r.doc_id][at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == out + texts[r.doc_id][at:] and r.n_chars == len(r.text)
