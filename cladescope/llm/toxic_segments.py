@@ -11,8 +11,8 @@ segments' evidence is summed and mapped to a probability by logistic regression
 on training rows that the words weren't learned from.
 
 Learning reads a bounded sample (``per_class`` labelled rows of each class in
-expectation, by a hash of the id) - its ids are few enough to broadcast to the
-scan - and the driver receives at most ``LEXICON`` words. Scoring is one pass
+expectation, by a hash of the id; one text of near copies, that of the least hash)
+- its ids, at most about 2 * ``per_class``, are broadcast to the scan - and the driver receives at most ``LEXICON`` words. Scoring is one pass
 over whole texts without a shuffle.
 
 Defined cases: null and empty texts have no segment and get the score of no
@@ -195,12 +195,13 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 
 def _sketch(text: Column) -> Column:
-    """Least hash of the text's three-word windows: most near copies share it."""
+    """Least hashes, of two kinds, of the text's three-word windows: most near copies share both, other texts with a common line don't."""
 
     # the one-element array binds the words, so they are split once a text
     def least(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
-        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " "))))
+        windows = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " ")))
+        return F.struct(F.array_min(windows).alias("a"), F.array_min(F.transform(windows, lambda w: F.xxhash64(w))).alias("b"))
 
     return F.element_at(F.transform(F.array(F.split(F.lower(text), r"\W+")), least), 1)
 
@@ -218,8 +219,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     # at most about 2 * per_class small rows: a bounded broadcast
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("toxic", "part", "text")
-    # copies of one document share their label and would pass for evidence of all their words
-    rows = rows.withColumn("sketch", _sketch(F.col("text"))).dropDuplicates(["sketch", "toxic"]).drop("sketch").persist()
+    # copies of one document share their label and would pass for evidence of all their words: of a sketch's texts the
+    # one with the least hash teaches, so the choice doesn't hang on the order in which rows come
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "part")).alias("one")
+    rows = rows.groupBy(_sketch(F.col("text")).alias("sketch"), "toxic").agg(one).select("toxic", "one.part", "one.text").persist()
 
     def count_words(batches):
         import pandas as pd

@@ -73,3 +73,12 @@ def test_filter_keeps_columns(spark, learned):
     some = docs.selectExpr("*", "'x' as score", "1 as predicted")
     kept = T.reject_toxic(some, labels)
     assert kept.columns == some.columns and 0.8 < kept.count() / docs.count() < 0.97
+
+
+def test_scores_do_not_hang_on_the_order_of_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    first = {r.doc_id: r.score for r in T.score(docs, T.learn(docs, labels)).collect()}
+    turned = docs.repartition(7).sortWithinPartitions("text")
+    again = {r.doc_id: r.score for r in T.score(docs, T.learn(turned, labels.repartition(3))).collect()}
+    assert max(abs(first[i] - again[i]) for i in first) < 1e-9
