@@ -227,8 +227,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def with_digests(encoded: DataFrame) -> DataFrame:
-    """The ids of each row (spans and text left out) and their digests."""
-    return encoded.select("doc_id", "ids", *digest_columns())
+    """The ids of each row, where they stand in the text's bytes, and their digests."""
+    return encoded.select("doc_id", "ids", "starts", "ends", *digest_columns())
 
 
 def digest_columns() -> list[Column]:
@@ -236,9 +236,10 @@ def digest_columns() -> list[Column]:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("starts", "ends").alias("spans_hash"),
     ]
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_hash (of the pieces' byte spans)."""
     return encoded.select("doc_id", *digest_columns())
