@@ -24,7 +24,7 @@ def test_recall(spark):
     index = V.build_index(rows, shard_rows=512)
     assert index.count() == 4
     got: dict = {}
-    for r in V.search_index(index, rows.where("vec_id % 50 = 0"), block_rows=16).orderBy("query_id", "rank").collect():
+    for r in V.search_index(index, rows.where("vec_id % 50 = 0"), block_bytes=16 * 64 * 8).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert set(got) == set(queries) and all([r for r, *_ in got[i]] == [1, 2, 3, 4, 5] for i in queries)
     hit = sum(len({x for _, x, _ in got[i]} & {x for x, _ in want[i]}) for i in queries)
@@ -68,3 +68,26 @@ def test_repeated_rows_take_no_places(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert {q: [x for x, _ in v] for q, v in got.items()} == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 200: [0, 1, 2, 3, 4]}
     assert all(abs(s - 1) < 1e-12 for v in got.values() for _, s in v)
+
+
+def test_recall_with_production_parameters(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    frame = rows.toPandas().sort_values("vec_id")
+    ids, vectors = frame["vec_id"].tolist(), np.array(frame["embedding"].tolist(), np.float64)
+    queries = [i for i in ids if i % 50 == 0]
+    want = brute(ids, vectors, queries, 5)
+    got: dict = {}
+    for r in V.search_index(V.build_index(rows), rows.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[i] & {x for x, _ in want[i]}) for i in queries) / (5 * len(queries)) >= 0.97
+
+
+def test_insertions_find_their_neighbours_through_the_graph():
+    rng = np.random.default_rng(2)
+    unit = V._unit(rng.normal(size=(1500, 16)))
+    graph = V.Graph.build(unit, rng.integers(0, 1 << 63, 1500))
+    for layer, links in enumerate(graph.links):
+        assert links.shape[1] == (V.LINKS if layer else V.LINKS_0) and links.max() < len(graph.nodes[layer])
+        assert all(i not in row for i, row in enumerate(links))
+    hit = sum(len({x for _, x in graph.search(unit[i], V.BEAM)[:6]} & set(np.argsort(-(unit @ unit[i]))[:6].tolist())) for i in range(0, 1500, 30))
+    assert hit / 300 >= 0.97
