@@ -4,15 +4,16 @@ Documents are dealt by ranges of doc_id, so that shards hold consecutive runs of
 the corpus; each task encodes its run and writes shards. A shard is one binary
 record: a header, the concatenated ids as little-endian 32-bit integers, and the
 document boundaries in Elias-Fano form: the low bits packed, the high bits in
-unary, and a select directory. A boundary costs about 2 + log2(ids / documents)
-bits instead of the 64 of an offset table. Shards are rows of a Parquet table in
+unary, and the select directory, of 32 bits for every STEP boundaries. A boundary
+costs about 2 + log2(ids / documents) bits instead of the 64 of an offset table;
+readers take offsets by select, a block of the high bits at a time. Shards are rows of a Parquet table in
 the shared folder, since executors reach shared storage through Spark only.
 
 Encoding is exact and local to words: with this pre-tokeniser every match starts
 at a single space that stands between two non-spaces, so the pieces between such
 places are encoded by the library on their own, each distinct piece once a task
-while it stays in the bounded cache. With ``added`` the library's added tokens
-are matched, as it does when loaded: it encodes the texts that hold one itself.
+while it stays in the bounded cache. Texts that hold one of the library's added
+tokens are encoded by the library itself.
 
 Defined cases: a null text is empty, a document without tokens still has the end
 id; a null doc_id sorts first; rows of equal id are ordered by their texts; an
@@ -44,18 +45,24 @@ STEP = 256
 HEADER = struct.Struct("<4sIQQB3xII")  # magic, version, documents, ids, low bits, bytes of low bits, bytes of high bits
 # Fixed value: the pre-tokeniser's pattern, for ASCII.
 _MATCH = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
-MAGIC, VERSION = b"EFID", 1
+MAGIC, VERSION = b"EFID", 2
+#: Stands for a line end before a word that it belongs to; no printable text holds it.
+LINE_END = "\0"
+#: Writers of so many ids.
+_PACK = [struct.Struct(f"<{k}I").pack for k in range(16)]
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers up to u, with select by position."""
+    """A non-decreasing sequence of n integers up to u, with select by position.
 
-    def __init__(self, n: int, width: int, low: bytes, high: bytes):
+    The directory holds the bit position of every STEP-th set bit, so a value is
+    found by reading one block of the high bits, and nothing is kept per value.
+    """
+
+    def __init__(self, n: int, width: int, low: bytes, high: bytes, directory: bytes):
         self.n, self.width = n, width
         self.low, self.high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
-        ones = np.cumsum(np.unpackbits(self.high, bitorder="little"), dtype=np.int64) if n else np.zeros(0, np.int64)
-        #: Bit position of every STEP-th set bit.
-        self.directory = np.searchsorted(ones, np.arange(1, n + 1, STEP))
+        self.directory = np.frombuffer(directory, "<u4")
 
     @staticmethod
     def build(values: np.ndarray, u: int) -> "EliasFano":
@@ -67,33 +74,34 @@ class EliasFano:
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         unary[places] = 1
-        return EliasFano(n, width, low, np.packbits(unary, bitorder="little").tobytes())
+        return EliasFano(n, width, low, np.packbits(unary, bitorder="little").tobytes(), places[::STEP].astype("<u4").tobytes())
+
+    def _block(self, j: int, count: int) -> np.ndarray:
+        """Bit positions of the first ``count`` set bits from directory entry ``j`` on, in its block."""
+        begin = int(self.directory[j])
+        end = int(self.directory[j + 1]) if j + 1 < len(self.directory) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little")
+        return np.flatnonzero(bits[begin % 8 :])[:count] + begin
 
     def select(self, k: int) -> int:
-        """The k-th value, from 0: walk from the nearest directory entry."""
-        at = int(self.directory[k // STEP])
-        left = k % STEP
-        while left:
-            window = np.unpackbits(self.high[at // 8 : at // 8 + 64], bitorder="little")
-            ones = np.flatnonzero(window[at % 8 + 1 :]) + at + 1
-            if len(ones) >= left:
-                at, left = int(ones[left - 1]), 0
-            else:
-                left -= len(ones)
-                at = at // 8 * 8 + len(window) - 1
-        return (at - k << self.width) | self._low(k, 1)[0]
+        """The k-th value, from 0."""
+        at = int(self._block(k // STEP, k % STEP + 1)[-1])
+        return (at - k << self.width) | int(self._low(k, 1)[0])
 
-    def _low(self, k: int, count: int) -> list[int]:
+    def _low(self, k: int, count: int) -> np.ndarray:
         if not self.width:
-            return [0] * count
+            return np.zeros(count, np.int64)
         begin, end = k * self.width, (k + count) * self.width
         bits = np.unpackbits(self.low[begin // 8 : (end + 7) // 8], bitorder="little")[begin % 8 :][: end - begin]
-        return (bits.reshape(count, self.width).astype(np.int64) << np.arange(self.width)).sum(1).tolist()
+        return (bits.reshape(count, self.width).astype(np.int64) << np.arange(self.width)).sum(1)
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (places - np.arange(self.n) << self.width) | np.array(self._low(0, self.n), np.int64)
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Position of each block's first value, and the values that select returns there, a block at a time."""
+        for j in range(len(self.directory)):
+            first = j * STEP
+            count = min(STEP, self.n - first)
+            places = self._block(j, count) - np.arange(first, first + count)
+            yield first, places << self.width | self._low(first, count)
 
 
 def write_shard(documents: list[bytes]) -> bytes:
@@ -101,24 +109,36 @@ def write_shard(documents: list[bytes]) -> bytes:
     ends = np.cumsum([len(d) // 4 for d in documents])
     total = int(ends[-1]) if len(ends) else 0
     ef = EliasFano.build(ends, total)
-    low, high = ef.low.tobytes(), ef.high.tobytes()
-    return HEADER.pack(MAGIC, VERSION, len(documents), total, ef.width, len(low), len(high)) + low + high + b"".join(documents)
+    low, high, directory = ef.low.tobytes(), ef.high.tobytes(), ef.directory.tobytes()
+    return HEADER.pack(MAGIC, VERSION, len(documents), total, ef.width, len(low), len(high)) + directory + low + high + b"".join(documents)
 
 
 class Shard:
-    """Reader of a shard; ``offsets`` and ``ids`` come from its bytes alone."""
+    """Reader of a shard; boundaries and ids come from its bytes alone."""
 
     def __init__(self, blob: bytes):
-        magic, version, self.n, self.total, width, a, b = HEADER.unpack_from(blob)
+        magic, version, self.n, self.total, width, low, high = HEADER.unpack_from(blob)
         if (magic, version) != (MAGIC, VERSION):
             raise ValueError("not a shard of token ids")
-        at = HEADER.size
-        self.ends = EliasFano(self.n, width, blob[at : at + a], blob[at + a : at + a + b])
-        self.ids = memoryview(blob)[at + a + b :]
+        ends = np.cumsum([HEADER.size, 4 * -(-self.n // STEP), low, high]).tolist()
+        directory, low, high = (blob[a:b] for a, b in zip(ends, ends[1:]))
+        self.ends = EliasFano(self.n, width, low, high, directory)
+        self.ids = memoryview(blob)[ends[-1] :]
+
+    def bounds(self, k: int) -> tuple[int, int]:
+        return self.ends.select(k - 1) if k else 0, self.ends.select(k)
 
     def document(self, k: int) -> np.ndarray:
-        begin = self.ends.select(k - 1) if k else 0
-        return np.frombuffer(self.ids[4 * begin : 4 * self.ends.select(k)], "<u4")
+        begin, end = self.bounds(k)
+        return np.frombuffer(self.ids[4 * begin : 4 * end], "<u4")
+
+    def documents(self) -> Iterator[tuple[int, int, memoryview]]:
+        """(begin, number of ids, their bytes) of all documents in turn."""
+        begin = 0
+        for _, ends in self.ends.blocks():
+            for end in ends.tolist():
+                yield begin, end - begin, self.ids[4 * begin : 4 * end]
+                begin = end
 
 
 def _byte_letters() -> dict[int, str]:
@@ -134,15 +154,15 @@ class PieceEncoder(dict):
     Pieces without the leading blank are in ``bare``.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = not added
-        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
-        self.model = self.library.model
+        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.tokenize = self.library.model.tokenize
         self.letters = _byte_letters()
+        self.blank = self.letters[32]
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
@@ -178,7 +198,8 @@ class PieceEncoder(dict):
             if any(m in text for m in self.marks):
                 out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() + end)
             elif self.simple(text):
-                words = iter(text.split(" "))
+                # a line end between two words goes with the second one, so that both are known from elsewhere
+                words = iter((text.replace("\n", " " + LINE_END) if "\n" in text and "\n\n" not in text else text).split(" "))
                 out.append(self._piece(next(words)) + b"".join(map(get, words)) + end)
             else:
                 out.append(b"".join(map(self._piece, self.pieces(text))) + end)
@@ -187,13 +208,23 @@ class PieceEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self._fresh(" " + word)
+            if word.isalpha():
+                ids = self._model(self.blank + (word if word.isascii() else self._spell(word)))
+            elif word[:1] == LINE_END:  # see encode
+                ids = self._piece("\n") + self._piece(word[1:])
+            elif word[-1:] in (",", ".") and word[:-1].isalpha():
+                met = word[:-1] in self
+                ids = self[word[:-1]] + self._piece(word[-1])
+                if not met:  # a rare word with its comma isn't worth a place
+                    return ids
+            else:
+                ids = self._fresh(" " + word)
         self[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
         if piece[:1] == " ":
-            return self[piece[1:]]
+            return self[piece[1:]] if piece[1:2] != LINE_END else self._fresh(piece)
         ids = self.bare.get(piece)
         if ids is None:
             ids = self.bare[piece] = self._fresh(piece) if piece else b""
@@ -216,22 +247,25 @@ class PieceEncoder(dict):
         return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _one(self, match: str) -> bytes:
-        if match.isascii() and match[1:].isalnum() and (match[0] == " " or match[0].isalnum()):
-            spelled = match.replace(" ", self.letters[32])
-        else:
-            spelled = "".join(map(self.letters.__getitem__, match.encode()))
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return self._model(self._spell(match))
+
+    def _spell(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def _model(self, spelled: str) -> bytes:
+        """Ids of one match."""
+        ids = [t.id for t in self.tokenize(spelled)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added: bool = False) -> PieceEncoder:
-    return PieceEncoder(path, added)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-shards", added: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-shards") -> DataFrame:
     """Encode ``docs`` in ascending doc_id order and write shards; returns the table that holds them.
 
-    Added tokens in a text are ordinary characters unless ``added``.
     Rows: first_id, part, seq (order of the shards), doc_ids, n_ids, shard.
     """
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -243,7 +277,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-s
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, part, seq = encoder(path, added), TaskContext.get().partitionId(), 0
+        model, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         rows: list[bytes] = []
         held = 0
@@ -280,11 +314,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, doc_ids, blob in zip(*(batch.column(c) for c in ("part", "seq", "doc_ids", "shard"))):
                 shard = Shard(blob.as_py())
-                ends = shard.ends.values()
-                begins = np.concatenate([[0], ends[:-1]]) if shard.n else ends
-                crc = [zlib.crc32(shard.ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+                begins, sizes, crc = zip(*((begin, n, zlib.crc32(ids)) for begin, n, ids in shard.documents())) if shard.n else ((), (), ())
                 yield pa.record_batch(
-                    [pa.repeat(part, shard.n), pa.repeat(seq, shard.n), doc_ids.values, pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.repeat(part, shard.n), pa.repeat(seq, shard.n), doc_ids.values, pa.array(begins, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
                     names=["part", "seq", "doc_id", "begin", "n_tokens", "ids_crc32"],
                 )
 

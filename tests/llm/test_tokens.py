@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladescope.llm import id_shards, piece_codec
 from cladescope.llm.queries import op8_id_shards, tokenizer_path
@@ -22,9 +23,7 @@ def odd(spark, extra=False):
 def whole():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("table", ["odd", "documents"])
@@ -39,6 +38,18 @@ def test_shards_equal_the_library(spark, whole, table):
     assert got == want
 
 
+def test_words_equal_the_library_in_any_surroundings(whole):
+    """Short texts of all kinds of neighbours, by the cached words and by the library."""
+    rng = np.random.default_rng(0)
+    parts = ["word", "Word", "éa", "日本", "x1", "12", "don't", "'s", ",", ".", "!?", "\"", "-", "\n", "\n\n", " ", " ", " ", "\t", "\0", "<|endoftext|>"]
+    model = id_shards.PieceEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts) - 1, rng.integers(1, 10))) for _ in range(4000)]
+    texts += ["".join(parts[i] for i in rng.integers(0, len(parts), 6)) for _ in range(300)]
+    texts += ["a.\nB c,\nD", "\nA b", "a b\n", "a\n\nb c", "a.\n,b c", "x, y. z,, w.."]
+    for text, ids in zip(texts, model.encode(texts, b"")):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_query_matches_added_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -67,11 +78,15 @@ def test_elias_fano(n):
     sizes[n // 2 :: 7] = 0
     ends = np.cumsum(sizes)
     shard = id_shards.Shard(id_shards.write_shard([np.full(k, 7, "<u4").tobytes() for k in sizes]))
-    assert shard.ends.values().tolist() == ends.tolist()
+    assert [v for _, block in shard.ends.blocks() for v in block.tolist()] == ends.tolist()
+    assert [(len(ids) // 4, begin) for begin, _, ids in shard.documents()] == list(zip(sizes.tolist(), [0, *ends.tolist()]))
     assert [shard.ends.select(k) for k in range(n)] == ends.tolist()
     assert all(len(shard.document(k)) == sizes[k] for k in range(n))
     if n > 100:
-        assert (shard.ends.low.nbytes + shard.ends.high.nbytes) * 8 < n * 14
+        bits = 8 * (shard.ends.low.nbytes + shard.ends.high.nbytes + shard.ends.directory.nbytes) / n
+        assert bits < 2.5 + np.log2(ends[-1] / n) + 64 / id_shards.STEP
+    # nothing is kept for each boundary
+    assert shard.ends.directory.nbytes == 4 * -(-n // id_shards.STEP) and all(np.asarray(v).nbytes < 8 * max(n, 100) for v in vars(shard.ends).values())
 
 
 @pytest.mark.parametrize("table", ["odd", "documents"])
@@ -88,6 +103,9 @@ def test_pieces_equal_the_library(spark, table):
     for r in encoded.collect():
         proto = model.encode(known[r.doc_id], return_type="proto")
         assert [(p.begin, p.end) for p in proto.pieces] == list(zip(r.starts, r.ends))
+    spans = {r.doc_id: r.spans_hash for r in piece_codec.digests(encoded).collect()}
+    moved = encoded.withColumn("ends", F.transform("ends", lambda x: x + 1))
+    assert all(r.spans_hash != spans[r.doc_id] for r in piece_codec.digests(moved).where("n_tokens > 0").collect())
     encoded.unpersist()
 
 
