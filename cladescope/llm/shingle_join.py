@@ -23,7 +23,8 @@ the sorted buckets are streamed, never gathered. Pivots are minima with map-side
 aggregation, and buckets join them by shingle. Frequent shingles are counted
 in a bounded table (FREQUENT rows); any order gives the same result, so its
 bound touches speed only. Sets move only for documents in surviving pairs: a
-bit map of fixed size sieves them at the scan.
+bit map of fixed size sieves them at the scan. A written table goes when its last
+reader is done.
 
 Hashes: 48 bits a shingle, 63 bits a class. Components need no more than the
 links, but the number of links of a class to others is not counted.
@@ -37,15 +38,17 @@ empty results; extra columns are ignored, and carried by ``keep_one``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladescope.llm.common import lean, materialize
+from cladescope.llm.common import discard, lean, materialize
 from cladescope.llm.textscan import mix, odd_numbers, scan_words, slices
-from cladescope.operators.graph import connected_components
+from cladescope.operators.graph import contract
 
 WORDS, PERCENT = 5, 80
 #: Rounds with a pivot before the exact one.
@@ -261,7 +264,9 @@ def _buckets(postings: DataFrame) -> DataFrame:
 
     shared = materialize(dealt.mapInArrow(lean(run), "shingle long, cls long, n int, pos int"), "shared")
     k = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
-    return materialize(shared.withColumn("k", k), "buckets")
+    buckets = materialize(shared.withColumn("k", k), "buckets")
+    discard(shared)
+    return buckets
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -325,14 +330,19 @@ def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     whole = near.join(side("x", kept, "packed"), "x").join(side("y", kept, "packed"), "y")
-    return materialize(whole.mapInArrow(lean(verify), "x long, y long"), "links")
+    links = materialize(whole.mapInArrow(lean(verify), "x long, y long"), "links")
+    discard(near, kept)
+    return links
 
 
 def _mixed(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
-    """``buckets`` with comp, and main: the largest component of the bucket; buckets of one component are left out."""
-    rows = buckets.withColumn("comp", F.col("cls"))
-    if component is not None:
-        rows = buckets.join(component, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+    """``buckets`` with comp, and main: the largest component of the bucket; buckets of one component are left out.
+
+    Before there are components every bucket has several, and no largest one.
+    """
+    if component is None:
+        return buckets.withColumns({"comp": F.col("cls"), "main": F.lit(None).cast("long")})
+    rows = buckets.join(component, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
     per = rows.groupBy("shingle", "comp").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
     return rows.join(per.where("comps > 1").drop("comps"), "shingle")
 
@@ -370,10 +380,9 @@ def _remaining_pairs(mixed: DataFrame, component: DataFrame | None, known: DataF
     of that component, once and not once a shingle; the others meet by shingle.
     The suffix filter is part of both joins.
     """
-    others = mixed.where("comp != main")
-    members = known if component is None else known.join(component, F.col("cls") == F.col("node"), "left")
-    comp = F.col("cls") if component is None else F.coalesce("component", "cls")
-    members = members.select(comp.alias("main"), F.col("cls").alias("cls_x"), F.col("n").alias("n_x"), F.col("odd").alias("odd_x"))
+    others = mixed.where("comp != main or main is null")
+    members = known.select(F.col("cls").alias("main"), "cls", "n", "odd") if component is None else known.join(component, F.col("cls") == F.col("node"), "left").withColumn("main", F.coalesce("component", "cls"))
+    members = members.select("main", F.col("cls").alias("cls_x"), F.col("n").alias("n_x"), F.col("odd").alias("odd_x"))
     apart = others.select("main", F.col("cls").alias("cls_y")).distinct().join(known.select(F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("odd").alias("odd_y")), "cls_y")
     equal = may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))
     first = apart.join(members, "main").where(equal & (F.col("cls_x") != F.col("cls_y")))
@@ -386,40 +395,63 @@ def _remaining_pairs(mixed: DataFrame, component: DataFrame | None, known: DataF
 
 
 def _components(sets: DataFrame, buckets: DataFrame) -> DataFrame | None:
-    """node, component of the classes that are linked to another; None if there are none."""
-    component = checked = links = None
+    """node, component of the classes that are linked to a smaller one; None if there are none."""
+    component, checked = None, []
     known = materialize(_known(sets), "known")
     for turn in range(ROUNDS + 1):
         mixed = _mixed(buckets, component)
         pairs = _pivot_pairs(mixed, turn) if turn < ROUNDS else _remaining_pairs(mixed, component, known)
-        if checked is not None:
-            pairs = pairs.join(checked, ["x", "y"], "left_anti")
+        if checked:
+            pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["x", "y"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            if turn == ROUNDS:
-                break
+            discard(pairs)
             continue
-        checked = pairs if checked is None else checked.unionByName(pairs)
+        checked.append(pairs)
         found = _links(sets, known, pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links, "x", "y").checkpoint()
+        if not found.isEmpty():
+            # components so far stand for the links that made them
+            edges = found if component is None else found.unionByName(component.select(F.col("node").alias("x"), F.col("component").alias("y")))
+            component = contract(edges, "x", "y")
+        discard(found)
+    discard(known, *checked)
     return component
 
 
+#: Classes are in so many groups at most that each hold more than their part; those are met without a shuffle.
+LARGE_GROUPS = 1000
+
+
+def _groups(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """cls, grp, component_id of every class, checkpointed."""
+    least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own"))
+    if component is None:
+        return least.select("cls", F.col("cls").alias("grp"), F.col("own").alias("component_id")).checkpoint()
+    roots = component.select(F.col("component").alias("node")).distinct()
+    component = component.unionByName(roots.withColumn("component", F.col("node")))
+    least = least.join(component, F.col("cls") == F.col("node"), "left").select("cls", "own", F.col("component").alias("grp")).checkpoint()
+    linked = least.where("grp is not null")
+    groups = linked.groupBy(F.col("grp").alias("g")).agg(F.min("own").alias("component_id"), F.count("*").alias("classes")).checkpoint()
+    share = linked.count() / LARGE_GROUPS
+    large = linked.join(F.broadcast(groups.where(F.col("classes") > share)), F.col("grp") == F.col("g"))
+    small = linked.join(groups.where(F.col("classes") <= share), F.col("grp") == F.col("g"))
+    alone = least.where("grp is null").select("cls", F.col("cls").alias("grp"), F.col("own").alias("component_id"))
+    columns = ["cls", "grp", "component_id"]
+    return large.select(columns).unionByName(small.select(columns)).unionByName(alone).checkpoint()
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, thash, n_shingles, component_id, grp (equal for rows of one group; null if the set is empty)."""
     sets = document_sets(docs)
-    component = _components(sets, _buckets(_postings(sets)))
-    rows = sets.select("doc_id", "thash", F.col("n").alias("n_shingles"), "cls")
-    full = rows.where("cls is not null").withColumn("grp", F.col("cls"))
-    if component is not None:
-        full = full.join(component, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
-    least = full.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
-    full = full.select("doc_id", "thash", "n_shingles", "grp").join(least, "grp")
+    buckets = _buckets(_postings(sets))
+    component = _components(sets, buckets)
+    rows = materialize(sets.select("doc_id", "thash", F.col("n").alias("n_shingles"), "cls"), "rows")
+    discard(buckets, sets)
+    # both sides are read from tables, so Spark may split the rows of a class with many copies
+    named = _groups(rows, component)
     columns = ["doc_id", "thash", "n_shingles", "component_id", "grp"]
-    empty = rows.where("cls is null").select("doc_id", "thash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("grp"))
+    full = rows.where("cls is not null").join(named, "cls")
+    empty = rows.where("cls is null").withColumns({"component_id": F.col("doc_id"), "grp": F.lit(None).cast("long")})
     return full.select(columns).unionByName(empty.select(columns))
 
 
