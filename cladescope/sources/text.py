@@ -106,7 +106,7 @@ def read_name_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gene_trees(spark: SparkSession, path: str) -> DataFrame:
     """fam, newick: the family's number is the last one in the file's name."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(_file(), r"(\d+)\.[^./]*$", 1).cast("long").alias("fam"), F.trim("value").alias("newick"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(_file(), r"(\d+)\.[^./]*$", 1).cast("long").alias("fam"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("newick"))
 
 
 def tree_file_name(fam, stem: str = "fam") -> Column:
