@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladescope.functions.clusters import capped_split
 from cladescope.functions.reconcile import PERMISSIVE, Costs, Reconciliation, best_rooting, gene_history, split_by_origin
-from cladescope.functions.trees import Tree, Unrooted, forced_split, neighbour_joining, parse_newick, split_long_branches, to_newick
+from cladescope.functions.trees import Tree, Unrooted, binarise, forced_split, neighbour_joining, parse_newick, split_long_branches, to_newick
 from cladescope.operators.graph import connected_components
+from cladescope.operators.numbering import numbered
 
 
 def number_by_size(groups: DataFrame, member: str = "gene") -> DataFrame:
     """fam (from 1, largest first, then by smallest member), ``member`` from (component, member)."""
     per = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(member).alias("least"))
-    ranked = per.withColumn("fam", F.row_number().over(Window.orderBy(F.desc("n"), "least")).cast("long"))
+    ranked = numbered(per, [F.desc("n"), F.col("least")], "fam")
     return groups.join(ranked.select("component", "fam"), "component").select("fam", member)
 
 
@@ -48,23 +49,29 @@ def single_linkage(edges: DataFrame, families: DataFrame) -> DataFrame:
     inside = edges.join(a, "g1").join(b, "g2").where("fam = fam2").select("g1", "g2")
     own = families.select(F.col("gene").alias("g1"), F.col("gene").alias("g2"))
     found = connected_components(inside.unionByName(own), "g1", "g2").withColumnRenamed("node", "gene").join(families, "gene")
-    per = found.select("fam", "component").distinct().withColumn("lf", F.row_number().over(Window.orderBy("fam", "component")).cast("long"))
+    per = numbered(found.select("fam", "component").distinct(), ["fam", "component"], "lf")
     return found.join(per, ["fam", "component"]).select("lf", "fam", "gene")
 
 
 def gene_trees(distances: DataFrame, members: DataFrame) -> DataFrame:
-    """fam, newick by neighbour joining, one family a task: distances (fam, a, b, dist), members (fam, gene)."""
+    """fam, newick by neighbour joining: distances (fam, a, b, dist), members (fam, gene). A family is a row."""
+    own = members.groupBy("fam").agg(F.array_sort(F.collect_list(F.col("gene").cast("string"))).alias("names"))
+    apart = F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("dist").cast("double").alias("dist"))
+    far = distances.groupBy(F.col("fam").alias("of_fam")).agg(F.collect_list(apart).alias("apart"))
 
-    def build(key, own: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(own["gene"].astype(str))
-        if len(names) == 1:
-            return pd.DataFrame({"fam": [key[0]], "newick": [names[0] + ";"]})
-        d = {(min(str(a), str(b)), max(str(a), str(b))): x for a, b, x in zip(far["a"], far["b"], far["dist"])}
-        tree = neighbour_joining(names, d)
-        return pd.DataFrame({"fam": [key[0]], "newick": [to_newick(tree.rooted(*tree.branches()[0]))]})
+    def build(batches):
+        for batch in batches:
+            out = []
+            for names, apart in zip(batch["names"], batch["apart"]):
+                if len(names) == 1:
+                    out.append(names[0] + ";")
+                    continue
+                d = {(min(x["a"], x["b"]), max(x["a"], x["b"])): x["dist"] for x in apart}
+                tree = neighbour_joining(list(names), d)
+                out.append(to_newick(tree.rooted(*tree.branches()[0])))
+            yield pd.DataFrame({"fam": batch["fam"], "newick": out})
 
-    far = distances.select(F.col("fam").alias("of_fam"), "a", "b", "dist")
-    return members.groupBy("fam").cogroup(far.groupBy("of_fam")).applyInPandas(build, "fam long, newick string")
+    return own.join(far, F.col("fam") == F.col("of_fam"), "left").select("fam", "names", "apart").mapInPandas(build, "fam long, newick string")
 
 
 def split_threshold(trees: DataFrame, quantile: float = 0.95, times: float = 1.5) -> float:
@@ -109,6 +116,20 @@ def initial_families(trees: DataFrame, sets: DataFrame, longest: float, cap: int
     return trees.groupBy("fam").cogroup(inside.groupBy("of_fam")).applyInPandas(cut, "fam long, part int, newick string, genes array<string>")
 
 
+def resolved(tree: Tree, locus: dict[str, int], rooted: bool) -> Tree:
+    """``tree`` with two children at every node, but for an unrooted tree's top, which may have three.
+
+    Children whose genes share their locations with few of the others join first.
+    """
+    if all(len(kids) <= 2 or len(kids) == 3 and node == tree.root and not rooted for node, kids in tree.children.items()):
+        return tree
+    spread: dict[str, int] = {}
+    for kids in tree.children.values():
+        own = {k: {locus[x] for x in tree.leaves(k)} for k in kids}
+        spread |= {k: sum(bool(own[k] & own[o]) for o in kids if o != k) for k in kids}
+    return binarise(tree, spread)
+
+
 def reconcile(families: DataFrame, species_newick: str, costs: Costs = Costs(), rooted: bool = False) -> DataFrame:
     """Per family: fam, cost (text, may be large), n_mprs (text), tree, events.
 
@@ -123,7 +144,7 @@ def reconcile(families: DataFrame, species_newick: str, costs: Costs = Costs(),
             for fam, newick, genes in zip(batch["fam"], batch["newick"], batch["genes"]):
                 species = {g["gene"]: g["species"] for g in genes}
                 locus = {g["gene"]: int(g["locus"]) for g in genes}
-                tree = parse_newick(newick, "g")
+                tree = resolved(parse_newick(newick, "g"), locus, rooted or len(species) < 3)
                 if rooted or len(species) < 3:
                     found = Reconciliation(species_tree, tree, species, locus, costs)
                 else:
@@ -219,7 +240,7 @@ def best_solutions(families: DataFrame, neighbours: DataFrame, species_newick: s
             for fam, newick, genes, mrcas in zip(batch["fam"], batch["newick"], batch["genes"], batch["mrcas"]):
                 species = {g["gene"]: g["species"] for g in genes}
                 locus = {g["gene"]: int(g["locus"]) for g in genes}
-                tree = parse_newick(newick, "g")
+                tree = resolved(parse_newick(newick, "g"), locus, len(species) < 3)
                 found = Reconciliation(species_tree, tree, species, locus, costs) if len(species) < 3 else best_rooting(species_tree, Unrooted.of(tree), species, locus, costs)
                 near = set(mrcas) if mrcas is not None else set()
                 best = None

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladescope.operators.numbering import numbered
 from cladescope.storage import shared_dir
 
 
@@ -95,4 +96,4 @@ def preorder(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """node, ord: preorder numbers with children in the order of their names."""
     up = paths.groupBy(F.col("desc").alias("node")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "anc")))).alias("a"))
     path = up.select("node", F.array_join(F.transform("a", lambda x: x["anc"].cast("string")), "\x01").alias("path"))
-    return path.select("node", F.row_number().over(Window.orderBy("path")).alias("ord"))
+    return numbered(path, ["path"], "ord").select("node", "ord")

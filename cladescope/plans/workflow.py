@@ -10,12 +10,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladescope.config import Params
 from cladescope.functions.trees import parse_newick, require_bifurcating
 from cladescope.operators import families, hits, islands, order, scores, tree
+from cladescope.operators.numbering import numbered
 from cladescope.storage import shared_dir
 
 
@@ -136,8 +137,8 @@ def initial_families(w: Workflow) -> DataFrame:
     whole = sets.groupBy("fam", "grp").agg(F.count("*").alias("n")).where(F.col("n") == len(w.strains)).select("fam").distinct()
     longest = families.split_threshold(w["gene_trees"].join(whole, "fam", "left_semi"), p.split_quantile, p.split_times)
     parts = families.initial_families(w["gene_trees"], sets, longest, p.largest_initial_family * len(w.strains), p.forced_split_balance)
-    number = F.row_number().over(Window.orderBy(F.desc(F.size("genes")), "fam", "part")).cast("long")
-    return parts.select(number.alias("fam"), "newick", "genes")
+    parts = numbered(parts.withColumnRenamed("fam", "whole"), [F.desc(F.size("genes")), F.col("whole"), F.col("part")], "fam")
+    return parts.select("fam", "newick", "genes")
 
 
 @stage
@@ -164,8 +165,7 @@ def origins(w: Workflow) -> DataFrame:
     """fam, source_fam, mrca, class, genes, histories, families: origin families, classed by the focal clade."""
     rows = [(n, p) for n, p, _ in w.tree.rows()]
     paths = tree.closure(w.spark.createDataFrame(rows, "node string, parent string"))
-    number = F.row_number().over(Window.orderBy("source_fam", "root")).cast("long")
-    found = families.origin_families(w["reconciled"]).withColumn("fam", number)
+    found = numbered(families.origin_families(w["reconciled"]), ["source_fam", "root"], "fam")
     return families.classify(found, paths, w.params.focal_root or w.tree.root)
 
 
@@ -173,8 +173,7 @@ def origins(w: Workflow) -> DataFrame:
 def locus_families(w: Workflow) -> DataFrame:
     """lf, fam, mrca, origin, genes."""
     flat = w["origins"].select("fam", F.posexplode("families").alias("i", "f")).select("fam", "i", "f.*")
-    number = F.row_number().over(Window.orderBy("fam", "i")).cast("long")
-    return flat.select(number.alias("lf"), "fam", F.col("species").alias("mrca"), "origin", F.col("genes").cast("array<long>").alias("genes"))
+    return numbered(flat, ["fam", "i"], "lf").select("lf", "fam", F.col("species").alias("mrca"), "origin", F.col("genes").cast("array<long>").alias("genes"))
 
 
 @stage

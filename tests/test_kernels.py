@@ -253,3 +253,19 @@ def test_parameters():
     for bad in ("D = 9", "x = 1", "D = __import__('os')", "print(1)"):
         with pytest.raises(ValueError):
             config.load(bad)
+
+
+def test_rootings_share_their_costs():
+    rng = random.Random(11)
+    costs = reconcile.Costs()
+    for n in [3, 4, 5, 6, 7, 9] * 6:
+        names = [f"x{i}" for i in range(n)]
+        d = {(a, b): rng.randrange(1, 40) for a in names for b in names if a < b}
+        tree = trees.neighbour_joining(names, d)
+        species = {x: rng.choice("ABCD") for x in names}
+        locus = {x: rng.randrange(3) for x in names}
+        found = reconcile.rooting_costs(SPECIES, tree, species, locus, costs)
+        each = {b: reconcile.Reconciliation(SPECIES, tree.rooted(*b), species, locus, costs).cost for b in tree.branches()}
+        assert found == each
+        best = reconcile.best_rooting(SPECIES, tree, species, locus, costs)
+        assert best.cost == min(each.values()) and best.G.children[best.G.root] == list(min(tree.branches(), key=each.__getitem__))

@@ -1,10 +1,13 @@
 """Table operators on hand-checked instances, and the driver contract."""
 
+import os
+import shutil
 import subprocess
 import sys
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from cladescope import streaming
@@ -198,13 +201,34 @@ def test_costs_add_up(spark):
     assert all(r.cost == r.chosen_cost and int(r.n_mprs) > 0 for r in rows)
 
 
-def test_imports_without_the_optional_parts(tmp_path):
-    code = (
-        "import sys, importlib.util as u\n"
-        "real = u.find_spec\n"
-        "u.find_spec = lambda n, *a: None if n.startswith(('cladescope.llm', 'corpus_pipeline')) else real(n, *a)\n"
-        "import __spark_entry__ as e\n"
-        "assert not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in e.queries())\n"
-        "assert not any(m.startswith('cladescope.llm') for m in sys.modules)\n"
-    )
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=__spark_entry__._HERE)
+@pytest.mark.parametrize("how", ["deleted", "broken"])
+def test_imports_without_the_optional_parts(tmp_path, how):
+    """In a copy of the repository: the parts are gone, or can't be imported."""
+    gone = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "tests", "__pycache__")
+    shutil.copytree(__spark_entry__._HERE, tmp_path / "repo", ignore=gone)
+    if how == "broken":
+        (tmp_path / "repo/cladescope/llm").mkdir()
+        (tmp_path / "repo/cladescope/llm/__init__.py").write_text("")
+        (tmp_path / "repo/cladescope/llm/queries.py").write_text("import a_module_that_is_not_there\n")
+        (tmp_path / "repo/corpus_pipeline.py").write_text("from cladescope.llm import gone\n")
+    code = "import __spark_entry__ as e; q = set(e.queries()); assert 'best_hits' in q and not [n for n in q if n[:2] == 'op' and n[2].isdigit() or n == 'pipeline'] and set(e.oracle_sql()) <= q"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path / "repo", env=env)
+
+
+def test_running_numbers(spark):
+    from cladescope.operators.numbering import numbered
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    got = {r.k: r.n for r in numbered(rows, [F.desc("k")], "n").collect()}
+    assert got == {k: 1000 - k for k in range(1000)}
+    assert numbered(rows.limit(0), ["k"], "n").count() == 0
+
+
+def test_trees_of_many_children_are_reconciled(spark):
+    genes = [("a", "A", 0), ("b", "B", 0), ("c", "C", 1), ("d", "D", 0), ("e", "A", 1)]
+    rows = [(1, "(a,b,c,d,e);"), (2, "((a,b,c,d),e);"), (3, "(a,b,(c,d,e));")]
+    table = spark.createDataFrame([(f, t, genes) for f, t in rows], "fam long, newick string, genes array<struct<gene:string,species:string,locus:long>>")
+    for rooted in (False, True):
+        found = families.reconcile(table, "(((A,B)s2,C)s1,D)s0;", rooted=rooted).collect()
+        assert len(found) == 3 and all(r.cost == r.chosen_cost for r in found)
