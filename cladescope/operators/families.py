@@ -192,6 +192,16 @@ def classify(origins: DataFrame, species_paths: DataFrame, focal_root: str) -> D
     return origins.join(above, "mrca", "left").withColumn("class", F.coalesce("c", F.lit("X"))).drop("c")
 
 
+def first_holding(sets: DataFrame, families: DataFrame) -> DataFrame:
+    """grp, fam: the first family, by number, that holds all genes of a set. sets: grp, gene; families: fam, gene.
+
+    With the ortholog sets of all strains these are the families of the hard core.
+    """
+    size = sets.groupBy("grp").agg(F.count("*").alias("n"))
+    held = sets.join(families, "gene").groupBy("grp", "fam").agg(F.count("*").alias("k"))
+    return held.join(size, "grp").where("k = n").groupBy("grp").agg(F.min("fam").alias("fam"))
+
+
 def event_counts(events: DataFrame) -> DataFrame:
     """event, n over all families."""
     return events.groupBy("event").agg(F.count("*").alias("n"))

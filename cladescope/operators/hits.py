@@ -106,6 +106,11 @@ def adjacency(pairs: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
+def distinct_pairs(edges: DataFrame) -> DataFrame:
+    """g1, g2: every pair of genes once."""
+    return edges.select("g1", "g2").distinct()
+
+
 def degree(pairs: DataFrame) -> DataFrame:
     both = pairs.where("g1 != g2").select(F.explode(F.array("g1", "g2")).alias("node"))
     return both.groupBy("node").agg(F.count("*").alias("degree"))

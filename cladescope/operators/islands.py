@@ -68,6 +68,12 @@ def assignments(islands: DataFrame, loci: DataFrame, origins: DataFrame) -> Data
     return loci.join(flat, "lf").join(origins.select("fam", "source_fam"), "fam", "left").select("gene", "island", F.col("source_fam").alias("ifam"), F.col("fam").alias("ofam"), "lf")
 
 
+def by_id(islands: DataFrame, ids: DataFrame) -> DataFrame:
+    """The first island of each id asked for (id), by its node and families; ids without one are left out."""
+    found = islands.join(ids.distinct(), "id", "left_semi")
+    return found.groupBy("id").agg(F.min(F.struct("mrca", "lfs")).alias("x")).select("id", "x.*")
+
+
 def size_table(islands: DataFrame) -> DataFrame:
     """mrca, size, n of islands."""
     return islands.groupBy("mrca", F.size("lfs").alias("size")).agg(F.count("*").alias("n"))

@@ -25,7 +25,7 @@ def outside_scores(outside: DataFrame, genes: DataFrame) -> DataFrame:
     """Edges out of a family with names, best first by the three-place text of the score."""
     name = genes.select("gene", "name")
     rows = outside.join(name, "gene").join(name.select(F.col("gene").alias("other"), F.col("name").alias("other_name")), "other")
-    return rows.withColumn("shown", F.format_string("%.3f", "raw_sc")).orderBy(F.desc("shown"), "gene", "other")
+    return rows.withColumn("shown", F.format_string("%.3f", F.bround("raw_sc", 3))).orderBy(F.desc("shown"), "gene", "other")
 
 
 def strain_lines(order: DataFrame, genes: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -62,8 +62,10 @@ def bed_rows(islands_in_strain: DataFrame, colours: DataFrame) -> DataFrame:
 
 
 def island_extents(members: DataFrame, genes: DataFrame) -> DataFrame:
-    """strain, chrom, island, start, end, n: from an island's first to its last gene on a contig. members: island, gene."""
-    return members.join(genes, "gene").groupBy("strain", "chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    """strain, chrom, island, start, end, n: from an island's first to its last gene on a contig, and half, the
+    median of half the genes' lengths. members: island, gene."""
+    half = F.percentile((F.col("end") - F.col("start")) / 2, 0.5)
+    return members.join(genes, "gene").groupBy("strain", "chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), half.alias("half"))
 
 
 def colour_islands(order: list, palette: list[str], fixed: dict, tries: int = 100, seed: int = 0) -> dict:
@@ -84,7 +86,7 @@ def colour_islands(order: list, palette: list[str], fixed: dict, tries: int = 10
 
 def representatives(members: DataFrame, most: int = 4) -> DataFrame:
     """lf, gene: at most ``most`` genes of a locus family, by a hash; ranked before the shuffle as well."""
-    w = Window.partitionBy("lf").orderBy(F.xxhash64("gene"), "gene")
+    w = Window.partitionBy("lf").orderBy(F.md5(F.col("gene").cast("string")), "gene")
     return members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("lf", "gene")
 
 
@@ -103,6 +105,25 @@ def greedy_cover(hits: DataFrame, take: int) -> list:
     return out
 
 
+def island_summary(islands: DataFrame) -> DataFrame:
+    """mrca, n_islands, n_families, sizes (``size:count`` by size) of every species node."""
+    per = islands.groupBy("mrca", F.size("lfs").alias("size")).agg(F.count("*").alias("n"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("size", "n"))), lambda x: F.concat_ws(":", x["size"].cast("string"), x["n"].cast("string"))), " ")
+    return per.groupBy("mrca").agg(F.sum("n").alias("n_islands"), F.sum(F.col("n") * F.col("size")).alias("n_families"), shown.alias("sizes"))
+
+
+def strain_table(members: DataFrame, family: str, strains: list) -> DataFrame:
+    """A row per family with the number of its genes in each strain, ``n_<strain>``. members: family, strain, gene."""
+    return members.groupBy(family).agg(*[F.count_if(F.col("strain") == F.lit(s)).alias(f"n_{s}") for s in strains])
+
+
+def write_bed(rows: DataFrame, path: str, name: str = "islands") -> None:
+    """A folder per strain with a track line and its rows (strain, chrom, start, value) by place."""
+    head = rows.select("strain").distinct().select("strain", F.lit("").alias("chrom"), F.lit(-1).cast("long").alias("start"), F.concat(F.lit(f'track name="{name} '), F.col("strain").cast("string"), F.lit('" itemRgb="On"')).alias("value"))
+    both = rows.select("strain", "chrom", F.col("start").cast("long").alias("start"), "value").unionByName(head)
+    both.repartition("strain").sortWithinPartitions("strain", "chrom", "start").select("strain", "value").write.partitionBy("strain").text(path)
+
+
 def same_table(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

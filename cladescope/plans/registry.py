@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +19,8 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Register a query, with its SQL where SQL can express it."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
@@ -154,11 +157,12 @@ def single_linkage_families(spark, d):
     return families.single_linkage(_edges(spark, d).where("raw_sc > 170"), blast_families(spark, d).checkpoint())
 
 
-_FAMILY_SQL = "SELECT p_partkey AS gene, p_partkey % 97 AS fam FROM part WHERE p_partkey % 3 > 0"
+_FAMILY_SQL = "SELECT p_partkey AS gene, p_partkey % 97 AS fam FROM part WHERE p_size > 17"
 
 
 def _family(spark, d):
-    return A.genes(spark, d).where("gene % 3 > 0").select("gene", (F.col("gene") % 97).alias("fam"))
+    """Families of the larger parts; the others are in none."""
+    return A.table(spark, d, "part").where("p_size > 17").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 97).alias("fam"))
 
 
 @query(f"""WITH e AS ({_EDGES_SQL}), f AS ({_FAMILY_SQL}), b AS (SELECT g1 AS gene, g2 AS other, raw_sc FROM e UNION ALL SELECT g2, g1, raw_sc FROM e)
@@ -226,17 +230,17 @@ def core_synteny_scores(spark, d):
 
 
 @query(f"""WITH o AS ({A.ORDER_SQL}) SELECT t.gene AS target, n.gene FROM o t JOIN o n ON t.contig = n.contig AND abs(n.pos - t.pos) <= 4
- WHERE t.gene % 11 = 0 AND n.gene % 11 != 0""")
+ WHERE t.core IS NOT NULL AND n.core IS NULL""")
 def nearby_genes(spark, d):
     o = A.gene_order(spark, d)
-    return order.nearby(o, o.where("gene % 11 = 0"), 4)
+    return order.nearby(o, o.where("core is not null"), 4)
 
 
-@query(f"""WITH o AS ({A.ORDER_SQL}), i AS (SELECT *, contig AS island FROM o WHERE gene % 13 = 0), g AS (SELECT island, strain, contig, min(pos) - 2 AS a, max(pos) + 2 AS b FROM i GROUP BY ALL)
+@query(f"""WITH o AS ({A.ORDER_SQL}), i AS (SELECT *, contig AS island FROM o WHERE core IS NOT NULL), g AS (SELECT island, strain, contig, min(pos) - 2 AS a, max(pos) + 2 AS b FROM i GROUP BY ALL)
  SELECT g.island, g.strain, o.gene FROM g JOIN o ON o.contig = g.contig AND o.pos BETWEEN a AND b""")
 def island_neighbourhood(spark, d):
     o = A.gene_order(spark, d)
-    return order.island_neighbourhood(o, o.where("gene % 13 = 0").select(F.col("contig").alias("island"), "gene"), 2)
+    return order.island_neighbourhood(o, o.where("core is not null").select(F.col("contig").alias("island"), "gene"), 2)
 
 
 @query("SELECT o_custkey AS gene, (o_custkey // 100) AS strain FROM orders WHERE o_custkey <= (SELECT max(c_custkey) FROM customer) GROUP BY ALL")
@@ -336,13 +340,6 @@ def nearest_neighbours(spark, d):
     return tree.nearest_neighbours(A.tree(spark, d), _paths(spark, d))
 
 
-@query(f"""WITH c AS (SELECT * FROM ({A.CLOSURE_SQL})), v AS (SELECT "desc" AS anc, max(depth) AS lv FROM c GROUP BY 1), u AS (SELECT c.anc, c."desc" AS tip, c.dist, lv FROM c JOIN v ON v.anc = c.anc WHERE c."desc" LIKE 'n%')
- SELECT a.tip AS a, b.tip AS b, arg_max(a.dist + b.dist, a.lv) AS dist FROM u a JOIN u b ON a.anc = b.anc AND a.tip < b.tip GROUP BY ALL""")
-def tip_distances(spark, d):
-    tips = A.tree(spark, d).where("node like 'n%'").select("node")
-    return tree.tip_distances(_paths(spark, d), tips)
-
-
 @query(f"""SELECT t.node, CASE WHEN t.node != 'r1' THEN t.parent END AS parent, t.branch_len FROM ({A.TREE_SQL}) t JOIN (SELECT * FROM ({A.CLOSURE_SQL})) c ON c."desc" = t.node AND c.anc = 'r1'""")
 def subtree(spark, d):
     return tree.subtree(A.tree(spark, d), _paths(spark, d), "r1")
@@ -386,27 +383,6 @@ def event_counts(spark, d):
     return families.event_counts(A.table(spark, d, "events").withColumnRenamed("event_type", "event"))
 
 
-@query()
-def representatives(spark, d):
-    rows = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("lf"), F.col("l_partkey").alias("gene")).distinct()
-    return reports.representatives(rows, 4)
-
-
-@query()
-def raw_scores(spark, d):
-    p = A.table(spark, d, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^A-Z]", "").alias("seq"))
-    pairs = p.select(F.col("p_partkey").alias("g1"), F.col("seq").alias("seq1")).join(p.select((F.col("p_partkey") - 1).alias("g1"), F.col("p_partkey").alias("g2"), F.col("seq").alias("seq2")), "g1")
-    return scores.raw_scores(pairs.where("length(seq1) > 0 and length(seq2) > 0"))
-
-
-@query()
-def synteny_scores(spark, d):
-    o = A.part_order(spark, d)
-    edges = _edges(spark, d)
-    runs = o.select("gene", F.xxhash64("strain", "contig", F.floor(F.col("pos") / 8)).alias("run"))
-    return scores.synteny_scores(edges, order.synteny_neighbours(o, 8), edges.withColumn("raw_sc", F.col("raw_sc").cast("double")), runs=runs)
-
-
 SPECIES = "(((A:1,B:1)s2:1,C:2)s1:1,D:3)s0;"
 
 
@@ -456,8 +432,10 @@ def locus_islands(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    importlib.import_module("cladescope.plans.derived")
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("cladescope.plans.derived")
     return dict(SQL)

@@ -45,7 +45,9 @@ def decode(blob: bytes) -> pd.DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Edges of binary files (``.bout``), or of a folder that ``write_binary`` wrote."""
+    files = spark.read.format("binaryFile").load(path) if path.endswith(".bout") else spark.read.parquet(path)
+    files = files.select("content")
 
     def run(batches):
         for batch in batches:
@@ -55,11 +57,25 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, EDGE_SCHEMA)
 
 
+def write_binary(edges: DataFrame, path: str) -> None:
+    """A file of the binary form for each pair of strains: its edges are one task's rows."""
+    rows = edges.select("s1", "s2", "g1", "g2", *[F.col(c).cast("double").alias(c) for c in ("raw_sc", "syn_sc", "core_syn_sc")])
+    pack = lambda frame: pd.DataFrame({"content": [encode(frame)]})
+    rows.groupBy("s1", "s2").applyInPandas(pack, "content binary").write.parquet(path)
+
+
 def write_text(edges: DataFrame, path: str, header: str = "# Scores: raw_sc syn_sc core_syn_sc") -> None:
-    """A header line and rows of genes and scores to six places, sorted by strain pair and genes."""
-    fields = [F.col(c).cast("string") for c in ("s1", "s2", "g1", "g2")] + [F.coalesce(F.format_string("%.6f", c), F.lit("None")) for c in ("raw_sc", "syn_sc", "core_syn_sc")]
-    rows = edges.orderBy("s1", "s2", "g1", "g2").select(F.concat_ws("\t", *fields).alias("value"))
-    rows.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).unionByName(rows).write.text(path)
+    """A block of the strain pairs' index ranges, a header line, and rows of genes and scores to six places, halves to
+    even, sorted by strain pair and genes; the files' order is the lines'."""
+    scores = [F.coalesce(F.format_string("%.6f", F.bround(c, 6)), F.lit("None")) for c in ("raw_sc", "syn_sc", "core_syn_sc")]
+    key = ["block", "s1", "s2", "g1", "g2"]
+    whole = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("s1", "s2", "g1", "g2")], *scores)
+    rows = edges.select(F.lit(2).alias("block"), "s1", "s2", "g1", "g2", whole.alias("value"))
+    none = F.lit(None).cast("long")
+    line = F.concat_ws("\t", F.lit("# Index range"), *[F.col(c).cast("string") for c in ("s1", "s2", "first", "after")])
+    ranges = edge_ranges(edges).select(F.lit(0).alias("block"), "s1", "s2", none.alias("g1"), none.alias("g2"), line.alias("value"))
+    head = edges.sparkSession.range(1).select(F.lit(1).alias("block"), *[none.alias(c) for c in key[1:]], F.lit(header).alias("value"))
+    rows.unionByName(ranges).unionByName(head).orderBy(*key).select("value").write.text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

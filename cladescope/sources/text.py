@@ -104,6 +104,11 @@ def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike(r"^\s") & (F.col("value") != "")).select(c[0].alias("file"), c[1].alias("strain"))
 
 
+def write_name_map(names: DataFrame, path: str) -> None:
+    """The map from downloaded files to strains (file, strain), a line each."""
+    names.select(F.concat_ws("\t", "file", "strain").alias("value")).write.text(path)
+
+
 def read_gene_trees(spark: SparkSession, path: str) -> DataFrame:
     """fam, newick: the family's number is the last one in the file's name."""
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(_file(), r"(\d+)\.[^./]*$", 1).cast("long").alias("fam"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("newick"))

@@ -1,10 +1,12 @@
 """Table operators on hand-checked instances, and the driver contract."""
 
+import glob
 import os
 import shutil
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -232,3 +234,49 @@ def test_trees_of_many_children_are_reconciled(spark):
     for rooted in (False, True):
         found = families.reconcile(table, "(((A,B)s2,C)s1,D)s0;", rooted=rooted).collect()
         assert len(found) == 3 and all(r.cost == r.chosen_cost for r in found)
+
+
+def test_islands_by_id_and_hard_core(spark):
+    i = spark.createDataFrame([(1, "s1", [4]), (1, "s0", [5]), (2, "s2", [6])], "id long, mrca string, lfs array<long>")
+    got = islands.by_id(i, spark.createDataFrame([(1,), (1,), (9,)], "id long")).collect()
+    assert [(r.id, r.mrca, r.lfs) for r in got] == [(1, "s0", [5])]
+    sets = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (1, 3)], "grp int, gene long")
+    fams = spark.createDataFrame([(7, 1), (7, 2), (5, 1), (5, 2), (5, 9), (6, 3)], "fam long, gene long")
+    assert [(r.grp, r.fam) for r in families.first_holding(sets, fams).collect()] == [(0, 5)]
+
+
+def test_bed_files_have_a_track_line(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "c", 5, "c\t5"), ("A", "b", 9, "b\t9"), ("B", "c", 1, "c\t1")], "strain string, chrom string, start long, value string")
+    reports.write_bed(rows, str(tmp_path / "bed"))
+    found = {p.name: [line for f in sorted(p.glob("part-*")) for line in f.read_text().splitlines()] for p in (tmp_path / "bed").glob("strain=*")}
+    assert found == {"strain=A": ['track name="islands A" itemRgb="On"', "b\t9", "c\t5"], "strain=B": ['track name="islands B" itemRgb="On"', "c\t1"]}
+
+
+def test_functions_in_sql(spark):
+    from cladescope.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("select back_align('M-K', 'ATGAAATAA') a, raw_score('MKV', 'MKV') b, newick_leaves('((a,b),c);') c, newick_size('((a,b),c);') d, back_align(null, 'x') e").first()
+    assert (row.a, row.b, row.c, row.d, row.e) == ("ATG---AAA", 1.0, ["a", "b", "c"], 5, None)
+    genes = "array(named_struct('gene','a','species','A','locus',1L), named_struct('gene','b','species','B','locus',2L))"
+    found = spark.sql(f"select * from optimal_histories('(a,b);', {genes}, '(((A,B)s2,C)s1,D)s0;', 5)").collect()
+    assert sorted((r.event, r.gene_node) for r in found if r.event == "O") == [("O", "a"), ("O", "b")] and {r.solution for r in found} == {0}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{SMALL}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path).removesuffix('.parquet')} as select * from read_parquet('{path}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(n for n, f in registry.queries().items() if f.__module__.endswith("derived") and n in registry.oracle_sql()))
+def test_derived_queries_equal_their_sql(spark, duck, name):
+    mine, its = registry.queries()[name](spark, SMALL).toPandas(), duck.execute(registry.oracle_sql()[name]).fetchdf()
+    assert sorted(mine.columns) == sorted(its.columns)
+    one = lambda x: None if pd.isna(x) else x if isinstance(x, str) else round(float(x), 9)
+    plain = lambda t: sorted((tuple(map(one, r)) for r in t[sorted(t.columns)].itertuples(index=False)), key=repr)
+    assert plain(mine) == plain(its)
