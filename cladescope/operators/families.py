@@ -233,35 +233,3 @@ def refine_candidates(reconciled: DataFrame, islands: DataFrame, loci: DataFrame
     small = islands.where(F.size("lfs") <= longest).select(F.explode("lfs").alias("lf"))
     there = loci.join(small, "lf", "left_semi").select("fam").distinct()
     return reconciled.where(F.col("n_mprs").cast("decimal(38,0)") > 1).select("fam").join(there, "fam", "left_semi")
-
-
-def best_solutions(families: DataFrame, neighbours: DataFrame, species_newick: str, costs: Costs = Costs(), most: int = 20) -> DataFrame:
-    """For candidate families the optimal solution whose locus families join most of the neighbours' origins.
-
-    neighbours: fam, mrcas array<string> (species of nearby families' origins). Of
-    up to ``most`` solutions the one with the fewest origins apart from those wins,
-    then the first.
-    """
-
-    def run(batches):
-        species_tree: Tree = parse_newick(species_newick)
-        for batch in batches:
-            rows = []
-            for fam, newick, genes, mrcas in zip(batch["fam"], batch["newick"], batch["genes"], batch["mrcas"]):
-                species = {g["gene"]: g["species"] for g in genes}
-                locus = {g["gene"]: int(g["locus"]) for g in genes}
-                tree = resolved(parse_newick(newick, "g"), locus, len(species) < 3)
-                found = Reconciliation(species_tree, tree, species, locus, costs) if len(species) < 3 else best_rooting(species_tree, Unrooted.of(tree), species, locus, costs)
-                near = set(mrcas) if mrcas is not None else set()
-                best = None
-                for k, s in enumerate(found.solutions(most)):
-                    events = found.events_of(s)
-                    apart = sum(len(p["families"]) for p in split_by_origin(found.G, events) if p["species"] not in near)
-                    if best is None or (apart, k) < best[0]:
-                        best = ((apart, k), events)
-                events = [{"gene_node": g, "nb": p, "ord": i, "event": e, "sp_node": x, "sp_nb": b, "locus": y} for i, (g, p, e, x, b, y) in enumerate(best[1])]
-                rows.append((fam, best[0][1], to_newick(found.G, lengths=False), events))
-            yield pd.DataFrame(rows, columns=["fam", "solution", "tree", "events"])
-
-    schema = "fam long, solution int, tree string, events array<struct<gene_node:string,nb:string,ord:int,event:string,sp_node:string,sp_nb:string,locus:long>>"
-    return families.join(neighbours, "fam", "left").mapInPandas(run, schema)

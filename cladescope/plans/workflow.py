@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cladescope.config import Params
 from cladescope.functions.trees import parse_newick, require_bifurcating
-from cladescope.operators import families, hits, islands, order, scores, tree
+from cladescope.operators import families, hits, islands, order, refine, scores, tree
 from cladescope.operators.numbering import numbered
 from cladescope.storage import shared_dir
 
@@ -160,28 +160,40 @@ def events(w: Workflow) -> DataFrame:
     return families.recon_events(w["reconciled"])
 
 
-@stage
-def origins(w: Workflow) -> DataFrame:
-    """fam, source_fam, mrca, class, genes, histories, families: origin families, classed by the focal clade."""
+def _origins(w: Workflow, reconciled: DataFrame) -> DataFrame:
     rows = [(n, p) for n, p, _ in w.tree.rows()]
     paths = tree.closure(w.spark.createDataFrame(rows, "node string, parent string"))
-    found = numbered(families.origin_families(w["reconciled"]), ["source_fam", "root"], "fam")
+    found = numbered(families.origin_families(reconciled), ["source_fam", "root"], "fam")
     return families.classify(found, paths, w.params.focal_root or w.tree.root)
 
 
+def _locus_families(origins: DataFrame) -> DataFrame:
+    flat = origins.select("fam", F.posexplode("families").alias("i", "f")).select("fam", "i", "f.*")
+    return numbered(flat, ["fam", "i"], "lf").select("lf", "fam", F.col("species").alias("mrca"), "origin", F.col("genes").cast("array<long>").alias("genes"))
+
+
+def _locus_islands(w: Workflow, locus_families: DataFrame) -> DataFrame:
+    p = w.params
+    member = locus_families.select("lf", F.explode("genes").alias("gene")).join(w["genes"].select("gene", "strain"), "gene")
+    near = islands.near_families(member, order.proximity(w["order"], p.proximity_range), p.proximity_range)
+    return islands.make_islands(locus_families.select("lf", "mrca"), near, w.species, p.proximity_merge, p.proximity_range, p.cluster_size, p.merge_threshold)
+
+
+@stage
+def origins(w: Workflow) -> DataFrame:
+    """fam, source_fam, mrca, class, genes, histories, families: origin families, classed by the focal clade."""
+    return _origins(w, w["reconciled"])
+
+
 @stage
 def locus_families(w: Workflow) -> DataFrame:
     """lf, fam, mrca, origin, genes."""
-    flat = w["origins"].select("fam", F.posexplode("families").alias("i", "f")).select("fam", "i", "f.*")
-    return numbered(flat, ["fam", "i"], "lf").select("lf", "fam", F.col("species").alias("mrca"), "origin", F.col("genes").cast("array<long>").alias("genes"))
+    return _locus_families(w["origins"])
 
 
 @stage
 def locus_islands(w: Workflow) -> DataFrame:
-    p = w.params
-    member = w["locus_families"].select("lf", F.explode("genes").alias("gene")).join(w["genes"].select("gene", "strain"), "gene")
-    near = islands.near_families(member, order.proximity(w["order"], p.proximity_range), p.proximity_range)
-    return islands.make_islands(w["locus_families"].select("lf", "mrca"), near, w.species, p.proximity_merge, p.proximity_range, p.cluster_size, p.merge_threshold)
+    return _locus_islands(w, w["locus_families"])
 
 
 @stage
@@ -198,3 +210,41 @@ def refine_candidates(w: Workflow) -> DataFrame:
     """fam of the families whose other optimal histories may give fewer islands."""
     of = w["locus_families"].join(w["origins"].select("fam", "source_fam"), "fam").select("lf", F.col("source_fam").alias("fam"))
     return families.refine_candidates(w["reconciled"], w["locus_islands"], of, w.params.refine_island)
+
+
+@stage
+def refined_histories(w: Workflow) -> DataFrame:
+    """fam, n_islands, tree, events: of every candidate the optimal history that leaves the fewest islands around it."""
+    p = w.params
+    source = w["origins"].select(F.col("fam").alias("ofam"), "source_fam")
+    member = w["locus_families"].select("lf", F.col("fam").alias("ofam"), "mrca", F.explode("genes").alias("gene")).join(source, "ofam")
+    gene = w["loci"].join(w["genes"].select("gene", F.col("strain").alias("species")), "gene").join(w["refine_candidates"], "fam", "left_semi")
+    own = gene.select("fam", "gene")
+    listed = gene.groupBy("fam").agg(F.array_sort(F.collect_list(F.struct(F.col("gene").cast("string").alias("gene"), "species", F.col("lf").alias("locus")))).alias("genes"))
+    asked = w["initial_families"].select("fam", "newick").join(listed, "fam")
+    loci = refine.near_loci(own, w["order"], member, p.refine_range)
+    pairs = refine.near_pairs(own, loci, order.proximity(w["order"], p.proximity_merge), p.proximity_merge)
+    return refine.refine(asked, loci, pairs, w["genes"].select("gene", "strain"), w.species, p.costs, p.refine_solutions, p.merge_threshold)
+
+
+@stage
+def refined(w: Workflow) -> DataFrame:
+    """``reconciled`` with the histories that refinement chose."""
+    new = w["refined_histories"].select("fam", F.col("tree").alias("new_tree"), F.col("events").alias("new_events"))
+    rows = w["reconciled"].join(new, "fam", "left").withColumns({"tree": F.coalesce("new_tree", "tree"), "events": F.coalesce("new_events", "events")})
+    return rows.drop("new_tree", "new_events")
+
+
+@stage
+def refined_origins(w: Workflow) -> DataFrame:
+    return _origins(w, w["refined"])
+
+
+@stage
+def refined_locus_families(w: Workflow) -> DataFrame:
+    return _locus_families(w["refined_origins"])
+
+
+@stage
+def refined_islands(w: Workflow) -> DataFrame:
+    return _locus_islands(w, w["refined_locus_families"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from cladescope import streaming
 from cladescope.functions.reconcile import Costs
-from cladescope.operators import families, graph, hits, islands, order, reports, scores, tree
+from cladescope.operators import families, graph, hits, islands, order, refine, reports, scores, tree
 from cladescope.plans import adapters as A
 from cladescope.plans import registry
 
@@ -127,8 +127,11 @@ def test_reconciliation_tables(spark):
     assert dict(families.event_counts(events).collect())["O"] == 4
     loose = families.permissive(fam, spark.createDataFrame([(1,)], "fam long"), SPECIES)
     assert loose.first().cost.startswith("-")
-    near = spark.createDataFrame([(1, ["s2"])], "fam long, mrcas array<string>")
-    assert families.best_solutions(fam, near, SPECIES).count() == 3
+    alone = spark.createDataFrame([], "fam long, lfs array<struct<lf:long,mrca:string,genes:array<long>>>")
+    apart = spark.createDataFrame([], "fam long, pairs array<struct<g1:long,g2:long>>")
+    numbers = fam.withColumns({"newick": F.translate("newick", "abcd", "1234"), "genes": F.transform("genes", lambda g: F.struct(F.translate(g["gene"], "abcd", "1234").alias("gene"), g["species"], g["locus"]))})
+    chosen = refine.refine(numbers, alone, apart, spark.createDataFrame([], "gene long, strain string"), SPECIES)
+    assert {r.fam: r.n_islands for r in chosen.collect()} == {1: 1, 2: 2, 3: 1}
     found.unpersist()
 
 

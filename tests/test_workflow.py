@@ -69,3 +69,37 @@ def test_every_stage_runs(flow):
     w, *_ = flow
     for name in STAGES:
         assert w[name].columns, name
+
+
+LOOSE = Params(O=1, L=1, D=6, T=6, R=6)
+
+
+@pytest.mark.parametrize(("near", "islands", "origins"), [([(50, "A", 5), (60, "C", 6)], 2, ["A", "C"]), ([(50, "s1", 5), (60, "s1", 6)], 1, ["s1"])])
+def test_refinement_takes_the_history_with_fewer_islands(spark, near, islands, origins):
+    """One origin with a loss costs as much as two origins: the neighbours decide."""
+    from cladescope.operators import order, refine
+    from cladescope.operators.order import proximity
+
+    lines = [("A", 0, 0, 5), ("A", 0, 1, 1), ("C", 0, 0, 6), ("C", 0, 1, 2)]
+    table = spark.createDataFrame(lines, "strain string, contig int, pos int, gene long")
+    own = spark.createDataFrame([(1, 1), (1, 2)], "fam long, gene long")
+    lf = {50: 7, 60: 7 if near[0][1] == "s1" else 8}
+    members = spark.createDataFrame([(g, lf[k], lf[k], k, m) for k, m, g in near] + [(1, 90, 90, 1, "s1"), (2, 90, 90, 1, "s1")], "gene long, lf long, ofam long, source_fam long, mrca string")
+    loci = refine.near_loci(own, table, members, 4)
+    pairs = refine.near_pairs(own, loci, proximity(table, 1), 1)
+    genes = [("1", "A", 0), ("2", "C", 0)]
+    asked = spark.createDataFrame([(1, "(1,2);", genes)], "fam long, newick string, genes array<struct<gene:string,species:string,locus:long>>")
+    row = refine.refine(asked, loci, pairs, table.select("gene", "strain"), SPECIES, LOOSE.costs).first()
+    assert row.n_islands == islands and sorted(e.sp_node for e in row.events if e.event == "O") == origins
+
+
+def test_drawn_solutions_are_optimal():
+    from cladescope.functions.reconcile import Reconciliation
+    from cladescope.functions.trees import parse_newick
+
+    found = Reconciliation(parse_newick(SPECIES), parse_newick("((1,2),3);", "g"), {"1": "A", "2": "C", "3": "D"}, {"1": 0, "2": 0, "3": 1}, LOOSE.costs)
+    drawn = [tuple(sorted(s, key=repr)) for s in found.drawn(400, 5)]
+    every = {tuple(sorted(s, key=repr)) for s in found.solutions()}
+    assert set(drawn) == every and len(every) == found.count() > 1
+    assert min(drawn.count(s) for s in every) > 400 / len(every) / 2
+    assert drawn == [tuple(sorted(s, key=repr)) for s in found.drawn(400, 5)]
