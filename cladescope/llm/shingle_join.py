@@ -54,9 +54,9 @@ WORDS, PERCENT = 5, 80
 #: Rounds with a pivot before the exact one.
 ROUNDS = 3
 #: Rows of the table of frequent shingles, and shingles counted together in search of them.
-FREQUENT, COUNTED = 400_000, 1 << 22
-#: Ranges of the hash whose parities the suffix filter compares (a multiple of 64); bits of the sieve.
-RANGES, SIEVE_BITS = 512, 1 << 25
+FREQUENT, COUNTED = 400_000, 1 << 23
+#: Ranges of the hash whose parities the suffix filter compares (multiples of 64): in joins, and on the pairs that these leave; bits of the sieve.
+RANGES, MORE_RANGES, SIEVE_BITS = 512, 2048, 1 << 25
 _PLACE = odd_numbers(6, WORDS)
 
 
@@ -95,9 +95,9 @@ def _class_of(packed: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little") >> 1
 
 
-def _parities(s: np.ndarray) -> np.ndarray:
-    """Whether the set's count is odd in each of RANGES parts of the hash, as 64-bit numbers."""
-    odd = np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1
+def _parities(s: np.ndarray, ranges: int) -> np.ndarray:
+    """Whether the set's count is odd in each of so many parts of the hash, as 64-bit numbers."""
+    odd = np.bincount((s & np.uint64(ranges - 1)).astype(np.int64), minlength=ranges) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -107,7 +107,7 @@ def least_overlap(n):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, thash (of the text), n, cls (null if empty), odd, packed; written to the shared folder."""
+    """Per row: doc_id, thash (of the text), n, cls (null if empty), odd, wide, packed; written to the shared folder."""
 
     def run(batches):
         for batch in batches:
@@ -117,40 +117,41 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 packed = [_pack(s) for s in sets]
                 cut = batch.slice(begin, end - begin)
                 yield pa.record_batch(
-                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array([_parities(s) for s in sets], pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                    names=["doc_id", "thash", "n", "cls", "odd", "packed"],
+                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array([_parities(s, RANGES) for s in sets], pa.list_(pa.int64())), pa.array([_parities(s, MORE_RANGES).tobytes() for s in sets], pa.binary()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "thash", "n", "cls", "odd", "wide", "packed"],
                 )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("thash"), docs["text"].alias("text"))
-    return materialize(slim.mapInArrow(lean(run), "doc_id long, thash long, n long, cls long, odd array<long>, packed binary"), "shingles")
+    return materialize(slim.mapInArrow(lean(run), "doc_id long, thash long, n long, cls long, odd array<long>, wide binary, packed binary"), "shingles")
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur within COUNTED neighbouring ones, and how often they were seen; FREQUENT at most."""
 
     def run(batches):
-        held, size = [], 0
+        held, size = np.empty(COUNTED, np.uint64), 0  # one buffer, sorted in place
 
-        def found():
-            s = np.concatenate(held)
-            held.clear()
+        def found(s):
             s.sort()
-            begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            n = np.diff(np.append(begin, len(s)))
-            return pa.record_batch([pa.array(s[begin[n > 1]].astype(np.int64)), pa.array(n[n > 1])], names=["shingle", "seen"])
+            # only runs of equal ones are looked at: the others take no places of their own
+            edge = np.diff(np.concatenate([[False], s[1:] == s[:-1], [False]]).astype(np.int8))
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            return pa.record_batch([pa.array(s[begin].astype(np.int64)), pa.array(end - begin + 1)], names=["shingle", "seen"])
 
         for batch in batches:
-            for b in batch.column("packed").to_pylist():
-                held.append(_unpack(b))
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield found()
+            for b in batch.column("packed"):
+                own = _unpack(b.as_py())
+                if size + len(own) > COUNTED and size:
+                    yield found(held[:size])
                     size = 0
-        if held:
-            yield found()
+                if len(own) <= COUNTED:  # a set alone has no shingle twice
+                    held[size : size + len(own)] = own
+                    size += len(own)
+        if size:
+            yield found(held[:size])
 
     seen = sets.select("packed").mapInArrow(lean(run), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    table = seen.where("seen > 8").orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow()
+    table = seen.where("seen > 4").orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow()
     shingle, n = table["shingle"].to_numpy().astype(np.uint64), table["seen"].to_numpy()
     order = np.argsort(shingle)
     return shingle[order], n[order]
@@ -278,8 +279,8 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, packed of the classes in ``pairs`` (and a few others)."""
+def _column_of(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """cls and the binary ``column`` of the classes in ``pairs`` (and a few others), written."""
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
     shared = sets.sparkSession.sparkContext.broadcast(_sieve(ids))
 
@@ -290,10 +291,10 @@ def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             hit = np.flatnonzero(sieve[bit // 32] >> (bit % 32).astype(np.uint32) & 1)
             cls = batch.column("cls").to_numpy()
             fresh = [i for i in hit.tolist() if cls[i] not in known and not known.add(cls[i])]
-            yield pa.record_batch([batch.column("cls"), batch.column("packed")], names=["cls", "packed"]).take(pa.array(fresh, pa.int64()))
+            yield pa.record_batch([batch.column("cls"), batch.column(column)], names=["cls", column]).take(pa.array(fresh, pa.int64()))
 
     bit = F.pmod(F.xxhash64("cls"), F.lit(SIEVE_BITS)).cast("int").alias("bit")
-    kept = sets.where("cls is not null").select("cls", "packed", bit).mapInArrow(lean(run), "cls long, packed binary")
+    kept = sets.where("cls is not null").select("cls", column, bit).mapInArrow(lean(run), f"cls long, {column} binary")
     return materialize(kept.dropDuplicates(["cls"]), "paired")
 
 
@@ -311,12 +312,24 @@ def may_equal(n1: Column, odd1: Column, n2: Column, odd2: Column) -> Column:
 def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of classes that reach the similarity; each is verified once.
 
-    Sets move for the pairs only that the suffix filter leaves.
+    Sets move for the pairs only that the suffix filter leaves, with more ranges at last.
     """
     side = lambda of, table, *columns: table.select(F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
     near = pairs.join(side("x", known, "n", "odd"), "x").join(side("y", known, "n", "odd"), "y")
-    near = materialize(near.where(may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))).select("x", "y"), "near")
-    kept = _sets_of(sets, near)
+    near = materialize(near.where(may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))).select("x", "y", (F.col("n_x") + F.col("n_y")).alias("n")), "near")
+    wide = _column_of(sets, near, "wide")
+
+    def sift(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(f"wide_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "xy")
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            keep = (100 + PERCENT) * apart <= (100 - PERCENT) * batch.column("n").to_numpy()
+            yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    both = near.join(side("x", wide, "wide"), "x").join(side("y", wide, "wide"), "y")
+    close = materialize(both.mapInArrow(lean(sift), "x long, y long"), "close")
+    discard(near, wide)
+    kept = _column_of(sets, close, "packed")
 
     def verify(batches):
         for batch in batches:
@@ -329,9 +342,9 @@ def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = near.join(side("x", kept, "packed"), "x").join(side("y", kept, "packed"), "y")
+    whole = close.join(side("x", kept, "packed"), "x").join(side("y", kept, "packed"), "y")
     links = materialize(whole.mapInArrow(lean(verify), "x long, y long"), "links")
-    discard(near, kept)
+    discard(close, kept)
     return links
 
 

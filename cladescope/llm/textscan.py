@@ -25,7 +25,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, SLICE), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 8 * SLICE:
+        if len(have) <= 2 * SLICE:
             _powers[base] = have
     return have[:n]
 

@@ -109,5 +109,5 @@ def test_filters_lose_nothing():
         for x in common:
             i, j = int(np.flatnonzero(p == x)[0]), int(np.flatnonzero(q == x)[0])
             assert S.may_reach(*map(np.int64, (len(a), i, len(np.intersect1d(p[:i], q)), len(b), j, len(np.intersect1d(q[:j], p)))))
-        apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(S._parities(a), S._parities(b)))
+        apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(S._parities(a, S.RANGES), S._parities(b, S.RANGES)))
         assert 180 * apart <= 20 * (len(a) + len(b))
