@@ -110,18 +110,21 @@ def synteny_scores(pairs: DataFrame, neighbours: DataFrame, edges: DataFrame, ta
     choice among a pair's few candidates is one small array per row. ``runs`` (gene,
     run) puts every gene into a run; a pair meets the edges between the runs of its
     neighbours, so runs of genes that lie together save rows and change no score.
+    Tables of all genes grow with the input, which their windows and arrays hide from
+    the planner: they are merged, as a broadcast of them would go through the driver.
     """
     if runs is None:
         runs = neighbours.select(F.explode("neighbours").alias("gene")).distinct().withColumn("run", F.col("gene"))
-    there = neighbours.select("gene", "neighbours", F.explode("neighbours").alias("x")).join(runs.select(F.col("gene").alias("x"), "run"), "x")
+    there = neighbours.select("gene", "neighbours", F.explode("neighbours").alias("x")).join(runs.select(F.col("gene").alias("x"), "run").hint("merge"), "x")
     there = there.groupBy("gene").agg(F.first("neighbours").alias("near"), F.collect_set("run").alias("runs"))
     a = there.select(F.col("gene").alias("g1"), F.col("near").alias("near1"), F.col("runs").alias("runs1"))
     b = there.select(F.col("gene").alias("g2"), F.col("near").alias("near2"), F.col("runs").alias("runs2"))
     both = edges.select(F.col("g1").alias("x"), F.col("g2").alias("y"), "raw_sc")
-    both = both.join(runs.select(F.col("gene").alias("x"), F.col("run").alias("r1")), "x").join(runs.select(F.col("gene").alias("y"), F.col("run").alias("r2")), "y")
+    both = both.join(runs.select(F.col("gene").alias("x"), F.col("run").alias("r1")).hint("merge"), "x")
+    both = both.join(runs.select(F.col("gene").alias("y"), F.col("run").alias("r2")).hint("merge"), "y")
     both = both.unionByName(both.where("x != y").select(F.col("y").alias("x"), F.col("x").alias("y"), "raw_sc", F.col("r2").alias("r1"), F.col("r1").alias("r2")))
-    asked = pairs.select("g1", "g2").join(a, "g1").join(b, "g2").withColumn("r1", F.explode("runs1")).withColumn("r2", F.explode("runs2"))
-    met = asked.join(both, ["r1", "r2"]).select("g1", "g2", "raw_sc", (F.array_position("near1", F.col("x")) - 1).alias("i"), (F.array_position("near2", F.col("y")) - 1).alias("j")).where("i >= 0 and j >= 0")
+    asked = pairs.select("g1", "g2").join(a.hint("merge"), "g1").join(b.hint("merge"), "g2").withColumn("r1", F.explode("runs1")).withColumn("r2", F.explode("runs2"))
+    met = asked.join(both.hint("merge"), ["r1", "r2"]).select("g1", "g2", "raw_sc", (F.array_position("near1", F.col("x")) - 1).alias("i"), (F.array_position("near2", F.col("y")) - 1).alias("j")).where("i >= 0 and j >= 0")
     found = met.groupBy("g1", "g2").agg(F.collect_list(F.struct("raw_sc", "i", "j")).alias("c"))
 
     def run(batches):
@@ -129,7 +132,7 @@ def synteny_scores(pairs: DataFrame, neighbours: DataFrame, edges: DataFrame, ta
             yield batch[["g1", "g2"]].assign(syn_sc=[greedy_matching([(x["raw_sc"], x["i"], x["j"]) for x in c], take) for c in batch["c"]])
 
     scored = found.mapInPandas(run, "g1 long, g2 long, syn_sc double")
-    return pairs.select("g1", "g2").join(scored, ["g1", "g2"], "left").fillna(0.0, ["syn_sc"])
+    return pairs.select("g1", "g2").join(scored.hint("merge"), ["g1", "g2"], "left").fillna(0.0, ["syn_sc"])
 
 
 def core_synteny(context1: Column, context2: Column) -> Column:
