@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladescope.functions.clusters import capped_split
-from cladescope.functions.reconcile import PERMISSIVE, Costs, Reconciliation, best_rooting, gene_history, split_by_origin
+from cladescope.functions.reconcile import PERMISSIVE, Costs, Reconciliation, best_rooting, gene_histories, split_by_origin
+from cladescope.functions.shapes import Histories, NearTrees
 from cladescope.functions.trees import Tree, Unrooted, binarise, forced_split, neighbour_joining, parse_newick, split_long_branches, to_newick
 from cladescope.operators.graph import connected_components
 from cladescope.operators.numbering import numbered
@@ -60,18 +64,47 @@ def gene_trees(distances: DataFrame, members: DataFrame) -> DataFrame:
     far = distances.groupBy(F.col("fam").alias("of_fam")).agg(F.collect_list(apart).alias("apart"))
 
     def build(batches):
+        joined = _worker_state(("trees",), lambda: NearTrees(_joined_tree))
         for batch in batches:
+            names, (apart, a, b, dist) = _lists(batch.column("names")), _lists(batch.column("apart"), "a", "b", "dist")
             out = []
-            for names, apart in zip(batch["names"], batch["apart"]):
-                if len(names) == 1:
-                    out.append(names[0] + ";")
-                    continue
-                d = {(min(x["a"], x["b"]), max(x["a"], x["b"])): x["dist"] for x in apart}
-                tree = neighbour_joining(list(names), d)
-                out.append(to_newick(tree.rooted(*tree.branches()[0])))
-            yield pd.DataFrame({"fam": batch["fam"], "newick": out})
+            for own, (x, y) in zip(names, apart):
+                d = {(p, q) if p < q else (q, p): z for p, q, z in zip(a[x:y], b[x:y], dist[x:y])}
+                out.append(own[0] + ";" if len(own) == 1 else joined(own, d))
+            yield pa.RecordBatch.from_arrays([batch.column("fam").cast(pa.int64()), pa.array(out, pa.string())], ["fam", "newick"])
+
+    return own.join(far, F.col("fam") == F.col("of_fam"), "left").select("fam", "names", "apart").mapInArrow(build, "fam long, newick string")
+
+
+def _joined_tree(names: list[str], distance: dict[tuple[str, str], float]) -> str:
+    tree = neighbour_joining(names, distance)
+    return to_newick(tree.rooted(*tree.branches()[0]))
+
+
+_STATE: dict = {}
+
+
+def _worker_state(key: tuple, make):
+    """What a worker keeps from task to task, for the few settings of a session."""
+    if key not in _STATE:
+        if len(_STATE) > 8:
+            _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def _lists(column: pa.Array, *fields: str):
+    """The lists of a column; of structs the lists' bounds, and each field's values over all lists."""
+    values, at = column.values, column.offsets.to_pylist()
+    if not fields:
+        flat = values.to_pylist()
+        return [flat[x:y] for x, y in zip(at, at[1:])]
+    return list(zip(at, at[1:])), *(values.field(f).to_pylist() for f in fields)
 
-    return own.join(far, F.col("fam") == F.col("of_fam"), "left").select("fam", "names", "apart").mapInPandas(build, "fam long, newick string")
+
+def _event_columns(events: list[tuple]) -> list[pa.Array]:
+    columns = list(zip(*events)) if events else [()] * 6
+    return [pa.array(c, pa.string()) for c in columns[:5]] + [pa.array(columns[5], pa.int64())]
 
 
 def split_threshold(trees: DataFrame, quantile: float = 0.95, times: float = 1.5) -> float:
@@ -137,25 +170,62 @@ def reconcile(families: DataFrame, species_newick: str, costs: Costs = Costs(),
     One family is one row; rows are independent and never gathered.
     """
 
+    def median(found: Reconciliation) -> tuple:
+        chosen = found.solution(found.median())
+        return (f"{found.cost:g}", f"{found.total(chosen):g}", str(found.count())), [found.events_of(chosen)]
+
     def run(batches):
-        species_tree = parse_newick(species_newick)
-        for batch in batches:
-            rows = []
-            for fam, newick, genes in zip(batch["fam"], batch["newick"], batch["genes"]):
-                species = {g["gene"]: g["species"] for g in genes}
-                locus = {g["gene"]: int(g["locus"]) for g in genes}
-                tree = resolved(parse_newick(newick, "g"), locus, rooted or len(species) < 3)
-                if rooted or len(species) < 3:
-                    found = Reconciliation(species_tree, tree, species, locus, costs)
-                else:
-                    found = best_rooting(species_tree, Unrooted.of(tree), species, locus, costs)
-                chosen = found.solution(found.median())
-                events = [{"gene_node": g, "nb": p, "ord": i, "event": e, "sp_node": s, "sp_nb": b, "locus": x} for i, (g, p, e, s, b, x) in enumerate(found.events_of(chosen))]
-                rows.append((fam, f"{found.cost:g}", f"{found.total(chosen):g}", str(found.count()), to_newick(found.G, lengths=False), events))
-            yield pd.DataFrame(rows, columns=["fam", "cost", "chosen_cost", "n_mprs", "tree", "events"])
+        for fams, found in _worked(batches, "median", median, species_newick, costs, rooted):
+            events = [e for _, _, (rows,) in found for e in rows]
+            bounds = [0, *itertools.accumulate(len(rows) for _, _, (rows,) in found)]
+            order = [i for a, b in itertools.pairwise(bounds) for i in range(b - a)]
+            gene_node, nb, event, sp_node, sp_nb, locus = _event_columns(events)
+            rows = pa.StructArray.from_arrays([gene_node, nb, pa.array(order, pa.int32()), event, sp_node, sp_nb, locus], ["gene_node", "nb", "ord", "event", "sp_node", "sp_nb", "locus"])
+            texts = [pa.array([texts[i] for texts, _, _ in found], pa.string()) for i in range(3)]
+            whole = [fams, *texts, pa.array([tree for _, tree, _ in found], pa.string()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)]
+            yield pa.RecordBatch.from_arrays(whole, ["fam", "cost", "chosen_cost", "n_mprs", "tree", "events"])
 
     schema = "fam long, cost string, chosen_cost string, n_mprs string, tree string, events array<struct<gene_node:string,nb:string,ord:int,event:string,sp_node:string,sp_nb:string,locus:long>>"
-    return families.mapInPandas(run, schema)
+    return families.select("fam", "newick", "genes").mapInArrow(run, schema)
+
+
+def histories(families: DataFrame, species_newick: str, costs: Costs = Costs(), most: int = 3, rooted: bool = False) -> DataFrame:
+    """fam, solution (from 0) and its events, of up to ``most`` optimal reconciliations of every family of ``reconcile``."""
+
+    def listed(found: Reconciliation) -> tuple:
+        return (), [found.events_of(x) for x in found.solutions(most)]
+
+    def run(batches):
+        for fams, found in _worked(batches, f"first {most}", listed, species_newick, costs, rooted):
+            fam = [f for f, (_, _, lists) in zip(fams.to_pylist(), found) for rows in lists for _ in rows]
+            solution = [k for _, _, lists in found for k, rows in enumerate(lists) for _ in rows]
+            events = _event_columns([e for _, _, lists in found for rows in lists for e in rows])
+            whole = pa.RecordBatch.from_arrays([pa.array(fam, pa.int64()), pa.array(solution, pa.int32()), *events], ["fam", "solution", "gene_node", "nb", "event", "sp_node", "sp_nb", "locus"])
+            yield from (whole.slice(at, 20_000) for at in range(0, len(whole), 20_000))
+
+    return families.select("fam", "newick", "genes").mapInArrow(run, "fam long, solution int, gene_node string, nb string, event string, sp_node string, sp_nb string, locus long")
+
+
+def _worked(batches, name: str, what, species_newick: str, costs: Costs, rooted: bool):
+    """Families' numbers and, for each, texts, rooted tree and lists of events that ``what`` takes from its reconciliation."""
+
+    def work(newick: str, species: dict[str, str], locus: dict[str, int]) -> tuple:
+        tree = resolved(parse_newick(newick, "g"), locus, rooted or len(species) < 3)
+        if rooted or len(species) < 3:
+            found = Reconciliation(species_tree, tree, species, locus, costs)
+        else:
+            found = best_rooting(species_tree, Unrooted.of(tree), species, locus, costs)
+        texts, lists = what(found)
+        return texts, to_newick(found.G, lengths=False), lists
+
+    species_tree = _worker_state(("species", species_newick), lambda: parse_newick(species_newick))
+    shapes = _worker_state((name, species_newick, costs, rooted), lambda: Histories(work))
+    for batch in batches:
+        bounds, genes, species, loci = _lists(batch.column("genes"), "gene", "species", "locus")
+        loci = [None if x is None else int(x) for x in loci]
+        found = [shapes(newick, genes[a:b], species[a:b], loci[a:b]) for newick, (a, b) in zip(batch.column("newick").to_pylist(), bounds)]
+        for at in range(0, len(found), 2000):
+            yield batch.column("fam").slice(at, 2000).cast(pa.int64()), found[at : at + 2000]
 
 
 def permissive(families: DataFrame, special: DataFrame, species_newick: str) -> DataFrame:
@@ -173,17 +243,22 @@ def origin_families(reconciled: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for fam, newick, events in zip(batch["fam"], batch["tree"], batch["events"]):
+            bounds, *columns = _lists(batch.column("events"), "gene_node", "nb", "event", "sp_node", "sp_nb", "locus")
+            events, rows = list(zip(*columns)), []
+            for fam, newick, (a, b) in zip(batch.column("fam").to_pylist(), batch.column("tree").to_pylist(), bounds):
                 tree = parse_newick(newick, "g")
-                tuples = [(e["gene_node"], e["nb"], e["event"], e["sp_node"], e["sp_nb"], None if pd.isna(e["locus"]) else int(e["locus"])) for e in events]
-                for part in split_by_origin(tree, tuples):
-                    histories = [{"gene": g, "history": gene_history(tree, tuples, g)} for g in part["genes"]]
-                    rows.append((fam, part["root"], part["species"], part["locus"], part["genes"], histories, part["families"]))
-            yield pd.DataFrame(rows, columns=["source_fam", "root", "mrca", "locus", "genes", "histories", "families"])
-
+                known = gene_histories(tree, events[a:b])
+                for part in split_by_origin(tree, events[a:b]):
+                    rows.append((fam, part["root"], part["species"], part["locus"], part["genes"], [{"gene": g, "history": known[g]} for g in part["genes"]], part["families"]))
+            for at in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000]), kinds)], names)
+
+    genes = pa.list_(pa.string())
+    own = pa.struct([("root", pa.string()), ("origin", pa.string()), ("species", pa.string()), ("locus", pa.int64()), ("genes", genes)])
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), genes, pa.list_(pa.struct([("gene", pa.string()), ("history", pa.string())])), pa.list_(own)]
+    names = ["source_fam", "root", "mrca", "locus", "genes", "histories", "families"]
     schema = "source_fam long, root string, mrca string, locus long, genes array<string>, histories array<struct<gene:string,history:string>>, families array<struct<root:string,origin:string,species:string,locus:long,genes:array<string>>>"
-    return reconciled.select("fam", "tree", "events").mapInPandas(run, schema)
+    return reconciled.select("fam", "tree", "events").mapInArrow(run, schema)
 
 
 def classify(origins: DataFrame, species_paths: DataFrame, focal_root: str) -> DataFrame:

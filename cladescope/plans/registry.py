@@ -387,8 +387,12 @@ SPECIES = "(((A:1,B:1)s2:1,C:2)s1:1,D:3)s0;"
 
 
 def _recon_input(spark, d):
-    """Small families of parts bought together: one gene per strain letter and part, trees by neighbour joining."""
+    """Small families of parts bought together: one gene per strain letter and part, trees by neighbour joining.
+
+    Rows are dealt by family once, to a given number of tasks: what is done with a family takes far longer than its bytes tell.
+    """
     o = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fam"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("long").alias("n"))
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fam")
     genes = o.groupBy("fam", "p").agg(F.max("n").alias("n")).withColumn("gene", F.col("p"))
     far = genes.alias("x").join(genes.alias("y"), "fam").where("x.gene < y.gene").select("fam", F.col("x.gene").alias("a"), F.col("y.gene").alias("b"), (1 + F.abs(F.col("x.n") - F.col("y.n"))).cast("double").alias("dist"))
     trees = families.gene_trees(far, genes.select("fam", "gene"))

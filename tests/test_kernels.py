@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cladescope import config
-from cladescope.functions import clusters, island_merge, reconcile, sequences, trees
+from cladescope.functions import clusters, island_merge, reconcile, sequences, shapes, trees
 from cladescope.operators import scores
 
 SPECIES = trees.parse_newick("(((A,B)s2,C)s1,D)s0;")
@@ -269,3 +269,44 @@ def test_rootings_share_their_costs():
         assert found == each
         best = reconcile.best_rooting(SPECIES, tree, species, locus, costs)
         assert best.cost == min(each.values()) and best.G.children[best.G.root] == list(min(tree.branches(), key=each.__getitem__))
+
+
+def test_families_of_one_shape_are_worked_on_once():
+    """Other numbers of genes, alike in order, species and locations: the same work, with the right names put back."""
+    calls = []
+
+    def work(newick, species, locus):
+        calls.append(newick)
+        found = reconcile.best_rooting(SPECIES, trees.Unrooted.of(trees.parse_newick(newick, "g")), species, locus, reconcile.Costs(2, 3, 1, 4, 3))
+        return (f"{found.cost:g}", str(found.count())), trees.to_newick(found.G, lengths=False), [found.events_of(x) for x in found.solutions(3)]
+
+    rng, shared = random.Random(5), shapes.Histories(work)
+    for _ in range(60):
+        names = [str(x) for x in rng.sample(range(1000, 9000), rng.randint(3, 6))]
+        species, loci = [rng.choice("ABCD") for _ in names], [rng.choice([3, 8]) for _ in names]
+        newick = trees.to_newick(random_tree(rng, names), lengths=False)
+        newick = newick.replace(",", ":1.5,")
+        want = work(newick, dict(zip(names, species)), dict(zip(names, loci)))
+        assert shared(newick, names, species, loci) == want
+        calls.clear()
+        more = [str(int(x) + 100_000) for x in names]
+        for old, new in zip(names, more):
+            newick = newick.replace(old, new)
+        got = shared(newick, more, species, [x + 2 for x in loci])
+        assert calls == [] and got[0] == want[0]
+        assert got == work(newick, dict(zip(more, species)), dict(zip(more, [x + 2 for x in loci])))
+    odd = shared("((a,'b 1'),3);", ["a", "b 1", "3"], ["A", "B", "C"], [1, 1, 2])
+    assert odd == work("((a,'b 1'),3);", {"a": "A", "b 1": "B", "3": "C"}, {"a": 1, "b 1": 1, "3": 2})
+    near = shapes.NearTrees(lambda names, d: calls.append(names) or trees.to_newick(trees.neighbour_joining(names, d).rooted("9", trees.neighbour_joining(names, d).links["9"][0]) if "9" in names else trees.Tree(names[0])))
+    calls.clear()
+    assert near(["10", "11"], {("10", "11"): 1.0}) == "10;" and near(["7", "8"], {("7", "8"): 1.0}) == "7;" and len(calls) == 1
+
+
+def test_all_histories_of_genes_in_one_pass():
+    rng = random.Random(8)
+    for _ in range(40):
+        names = [f"x{i}" for i in range(rng.randint(2, 6))]
+        found = reconcile.Reconciliation(SPECIES, random_tree(rng, names), {n: rng.choice("ABCD") for n in names}, {n: rng.randint(1, 2) for n in names}, reconcile.Costs(2, 3, 1, 4, 3))
+        events = found.events_of(found.solution())
+        every = reconcile.gene_histories(found.G, events)
+        assert all(every[g] == reconcile.gene_history(found.G, events, g) for g in names)

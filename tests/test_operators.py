@@ -306,3 +306,18 @@ def test_tip_distances_in_blocks(spark):
     assert got == want
     plan = tree.tip_distances(paths, tips)._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in plan
+
+
+def test_histories_equal_the_table_function(spark):
+    """The operator and SQL's table function list the same histories, and families run in more than one task."""
+    from cladescope.functions import sql
+
+    sql.register(spark)
+    small = registry._recon_input(spark, SMALL).where("size(genes) > 2")
+    assert small.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = small.where("fam % 5 = 0")
+    small.createOrReplaceTempView("some_families")
+    its = spark.sql(f"SELECT f.fam, h.* FROM some_families f, LATERAL optimal_histories(f.newick, f.genes, '{registry.SPECIES}', 3) h")
+    mine = families.histories(small, registry.SPECIES, most=3)
+    assert mine.columns == its.columns and mine.count() == its.count() > 100
+    assert mine.exceptAll(its).isEmpty()
