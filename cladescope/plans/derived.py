@@ -356,9 +356,7 @@ def tip_distances(spark, d):
 
 @query()
 def optimal_histories(spark, d):
-    """Events of up to three optimal solutions of every family of three genes or more, by the table function."""
+    """Events of up to three optimal solutions of every family of three genes or more."""
     from cladescope.plans.registry import SPECIES, _recon_input
 
-    sql_functions.register(spark)
-    _recon_input(spark, d).where(F.size("genes") > 2).createOrReplaceTempView("recon_families")
-    return spark.sql(f"SELECT f.fam, h.* FROM recon_families f, LATERAL optimal_histories(f.newick, f.genes, '{SPECIES}', 3) h")
+    return families.histories(_recon_input(spark, d).where(F.size("genes") > 2), SPECIES, most=3)
