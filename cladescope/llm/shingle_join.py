@@ -19,12 +19,13 @@ which is exactly what can still connect anything. A large group of near copies s
 costs a few pairs a member, and nothing is dropped.
 
 Scale: postings of prefixes (a fifth of the shingles) are the one large shuffle;
-the sorted buckets are streamed, never gathered. Pivots are minima with map-side
-aggregation, and buckets join them by shingle. Frequent shingles are counted
+the sorted buckets are streamed. The buckets that are left, a few hundredths, move
+twice more by shingle: for the pivots of all rounds, and for the largest components
+in the last round (windows, which spill). Frequent shingles are counted
 in a bounded table (FREQUENT rows); any order gives the same result, so its
 bound touches speed only. Sets move only for documents in surviving pairs: a
-bit map of fixed size sieves them at the scan. A written table goes when its last
-reader is done.
+bit map of fixed size sieves one row a class at the scan. A written table goes when
+its last reader is done.
 
 Hashes: 48 bits a shingle, 63 bits a class. Components need no more than the
 links, but the number of links of a class to others is not counted.
@@ -107,7 +108,7 @@ def least_overlap(n):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, thash (of the text), n, cls (null if empty), odd, wide, packed; written to the shared folder."""
+    """Per row: row (a number), doc_id, thash (of the text), n, cls (null if empty), odd, wide, packed; written to the shared folder."""
 
     def run(batches):
         for batch in batches:
@@ -117,12 +118,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 packed = [_pack(s) for s in sets]
                 cut = batch.slice(begin, end - begin)
                 yield pa.record_batch(
-                    [cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array([_parities(s, RANGES) for s in sets], pa.list_(pa.int64())), pa.array([_parities(s, MORE_RANGES).tobytes() for s in sets], pa.binary()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "thash", "n", "cls", "odd", "wide", "packed"],
+                    [cut.column("row"), cut.column("doc_id"), cut.column("thash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(p) if p else None for p in packed], pa.int64()), pa.array([_parities(s, RANGES) for s in sets], pa.list_(pa.int64())), pa.array([_parities(s, MORE_RANGES).tobytes() for s in sets], pa.binary()), pa.array(packed, pa.binary())],
+                    names=["row", "doc_id", "thash", "n", "cls", "odd", "wide", "packed"],
                 )
 
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("thash"), docs["text"].alias("text"))
-    return materialize(slim.mapInArrow(lean(run), "doc_id long, thash long, n long, cls long, odd array<long>, wide binary, packed binary"), "shingles")
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("thash"), docs["text"].alias("text"))
+    return materialize(slim.mapInArrow(lean(run), "row long, doc_id long, thash long, n long, cls long, odd array<long>, wide binary, packed binary"), "shingles")
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -280,27 +281,24 @@ def _sieve(ids: DataFrame) -> np.ndarray:
 
 
 def _column_of(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """cls and the binary ``column`` of the classes in ``pairs`` (and a few others), written."""
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
+    """row and the binary ``column`` of the rows in ``pairs`` (and a few others), written."""
+    ids = pairs.select(F.col("row_x").alias("id")).unionByName(pairs.select(F.col("row_y").alias("id")))
     shared = sets.sparkSession.sparkContext.broadcast(_sieve(ids))
 
     def run(batches):
-        sieve, known = shared.value, set()
+        sieve = shared.value
         for batch in batches:
             bit = batch.column("bit").to_numpy()
             hit = np.flatnonzero(sieve[bit // 32] >> (bit % 32).astype(np.uint32) & 1)
-            cls = batch.column("cls").to_numpy()
-            fresh = [i for i in hit.tolist() if cls[i] not in known and not known.add(cls[i])]
-            yield pa.record_batch([batch.column("cls"), batch.column(column)], names=["cls", column]).take(pa.array(fresh, pa.int64()))
+            yield pa.record_batch([batch.column("row"), batch.column(column)], names=["row", column]).take(pa.array(hit))
 
-    bit = F.pmod(F.xxhash64("cls"), F.lit(SIEVE_BITS)).cast("int").alias("bit")
-    kept = sets.where("cls is not null").select("cls", column, bit).mapInArrow(lean(run), f"cls long, {column} binary")
-    return materialize(kept.dropDuplicates(["cls"]), "paired")
+    bit = F.pmod(F.xxhash64("row"), F.lit(SIEVE_BITS)).cast("int").alias("bit")
+    return materialize(sets.where("cls is not null").select("row", column, bit).mapInArrow(lean(run), f"row long, {column} binary"), "paired")
 
 
 def _known(sets: DataFrame) -> DataFrame:
-    """cls, n, odd of every class."""
-    return sets.where("cls is not null").select("cls", "n", "odd").dropDuplicates(["cls"])
+    """cls, n, odd and one row of every class."""
+    return sets.where("cls is not null").select("cls", "n", "odd", "row").dropDuplicates(["cls"])
 
 
 def may_equal(n1: Column, odd1: Column, n2: Column, odd2: Column) -> Column:
@@ -309,14 +307,18 @@ def may_equal(n1: Column, odd1: Column, n2: Column, odd2: Column) -> Column:
     return (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1) & ((100 + PERCENT) * sum(apart[1:], apart[0]) <= (100 - PERCENT) * (n1 + n2))
 
 
+_PAIR = ["x", "y", "row_x", "row_y"]
+
+
 def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of classes that reach the similarity; each is verified once.
 
     Sets move for the pairs only that the suffix filter leaves, with more ranges at last.
     """
-    side = lambda of, table, *columns: table.select(F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
-    near = pairs.join(side("x", known, "n", "odd"), "x").join(side("y", known, "n", "odd"), "y")
-    near = materialize(near.where(may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))).select("x", "y", (F.col("n_x") + F.col("n_y")).alias("n")), "near")
+    class_of = lambda of: known.select(F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in ("n", "odd", "row")])
+    with_rows = lambda some, table, c: functools.reduce(lambda left, of: left.join(table.select(F.col("row").alias(f"row_{of}"), F.col(c).alias(f"{c}_{of}")), f"row_{of}"), "xy", some)
+    near = pairs.join(class_of("x"), "x").join(class_of("y"), "y")
+    near = materialize(near.where(may_equal(F.col("n_x"), F.col("odd_x"), F.col("n_y"), F.col("odd_y"))).select(*_PAIR, (F.col("n_x") + F.col("n_y")).alias("n")), "near")
     wide = _column_of(sets, near, "wide")
 
     def sift(batches):
@@ -324,10 +326,9 @@ def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(f"wide_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "xy")
             apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
             keep = (100 + PERCENT) * apart <= (100 - PERCENT) * batch.column("n").to_numpy()
-            yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([batch.column(c) for c in _PAIR], names=_PAIR).filter(pa.array(keep, pa.bool_()))
 
-    both = near.join(side("x", wide, "wide"), "x").join(side("y", wide, "wide"), "y")
-    close = materialize(both.mapInArrow(lean(sift), "x long, y long"), "close")
+    close = materialize(with_rows(near, wide, "wide").mapInArrow(lean(sift), ", ".join(f"{c} long" for c in _PAIR)), "close")
     discard(near, wide)
     kept = _column_of(sets, close, "packed")
 
@@ -342,22 +343,22 @@ def _links(sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
             yield pa.record_batch([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = close.join(side("x", kept, "packed"), "x").join(side("y", kept, "packed"), "y")
-    links = materialize(whole.mapInArrow(lean(verify), "x long, y long"), "links")
+    links = materialize(with_rows(close, kept, "packed").mapInArrow(lean(verify), "x long, y long"), "links")
     discard(close, kept)
     return links
 
 
-def _mixed(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
-    """``buckets`` with comp, and main: the largest component of the bucket; buckets of one component are left out.
+def _others(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The postings outside main, the largest component of their bucket, with comp and main.
 
-    Before there are components every bucket has several, and no largest one.
+    Before there are components every posting has its own, and there is no largest one.
     """
     if component is None:
         return buckets.withColumns({"comp": F.col("cls"), "main": F.lit(None).cast("long")})
     rows = buckets.join(component, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-    per = rows.groupBy("shingle", "comp").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
-    return rows.join(per.where("comps > 1").drop("comps"), "shingle")
+    # dealt by shingle once, which serves both windows
+    rows = rows.repartition("shingle").withColumn("size", F.count("*").over(Window.partitionBy("shingle", "comp")))
+    return rows.withColumn("main", F.max(F.struct("size", "comp")).over(Window.partitionBy("shingle"))["comp"]).where("comp != main").drop("size")
 
 
 _PLACES = ("cls", "n", "pos", "k", "comp")
@@ -371,29 +372,36 @@ def _side(rows: DataFrame, of: str, *more: Column) -> DataFrame:
     return rows.select("shingle", *[F.col(c).alias(f"{c}_{of}") for c in _PLACES], *more)
 
 
-def _ordered(met: DataFrame) -> DataFrame:
-    return met.select(F.least("cls_x", "cls_y").alias("x"), F.greatest("cls_x", "cls_y").alias("y")).distinct()
-
-
-def _pivot_pairs(mixed: DataFrame, turn: int) -> DataFrame:
-    """Every posting with its bucket's pivot, if that is of another component.
+def _pivot_pairs(buckets: DataFrame) -> DataFrame:
+    """x, y, turn: every posting with its bucket's pivots; a pair once, in its first turn.
 
     A pivot is the class of the least hash of a bucket: buckets with much the same
     classes have the same pivot, and another one each turn.
     """
-    least = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), *_PLACES)).alias("p")
-    pivots = mixed.groupBy("shingle").agg(least).select("shingle", *[F.col(f"p.{c}").alias(f"{c}_y") for c in _PLACES])
-    return _ordered(_side(mixed, "x").join(pivots, "shingle").where((F.col("comp_x") != F.col("comp_y")) & _reach("x", "y")))
+    places = _PLACES[:-1]
+    pivot = lambda turn: F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.lit(turn).alias("turn"), *places)).over(Window.partitionBy("shingle"))
+    met = buckets.select(*[F.col(c).alias(f"{c}_x") for c in places], F.array(*map(pivot, range(ROUNDS))).alias("pivots"))
+    met = met.withColumn("p", F.explode("pivots")).select(*[f"{c}_x" for c in places], F.col("p.turn").alias("turn"), *[F.col(f"p.{c}").alias(f"{c}_y") for c in places])
+    met = met.where((F.col("cls_x") != F.col("cls_y")) & _reach("x", "y"))
+    return met.groupBy(F.least("cls_x", "cls_y").alias("x"), F.greatest("cls_x", "cls_y").alias("y")).agg(F.min("turn").alias("turn"))
 
 
-def _remaining_pairs(mixed: DataFrame, component: DataFrame | None, known: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The pairs (x, y) whose classes are in different components so far."""
+    if component is None:
+        return pairs
+    for c in "xy":
+        pairs = pairs.join(component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    return pairs.where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
+
+
+def _remaining_pairs(others: DataFrame, component: DataFrame | None, known: DataFrame) -> DataFrame:
     """All pairs of a bucket in different components that pass the filters.
 
     A member of a bucket's largest component meets the bucket's others as a member
     of that component, once and not once a shingle; the others meet by shingle.
     The suffix filter is part of both joins.
     """
-    others = mixed.where("comp != main or main is null")
     members = known.select(F.col("cls").alias("main"), "cls", "n", "odd") if component is None else known.join(component, F.col("cls") == F.col("node"), "left").withColumn("main", F.coalesce("component", "cls"))
     members = members.select("main", F.col("cls").alias("cls_x"), F.col("n").alias("n_x"), F.col("odd").alias("odd_x"))
     apart = others.select("main", F.col("cls").alias("cls_y")).distinct().join(known.select(F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("odd").alias("odd_y")), "cls_y")
@@ -404,30 +412,33 @@ def _remaining_pairs(mixed: DataFrame, component: DataFrame | None, known: DataF
     rest = others.join(several, "shingle", "left_semi").join(known.select("cls", "odd"), "cls")
     met = _side(rest, "x", F.col("odd").alias("odd_x")).join(_side(rest, "y", F.col("odd").alias("odd_y")), "shingle")
     second = met.where((F.col("comp_x") != F.col("comp_y")) & (F.col("cls_x") < F.col("cls_y")) & _reach("x", "y") & equal)
-    return _ordered(first.select("cls_x", "cls_y").unionByName(second.select("cls_x", "cls_y")))
+    return first.select("cls_x", "cls_y").unionByName(second.select("cls_x", "cls_y")).select(F.least("cls_x", "cls_y").alias("x"), F.greatest("cls_x", "cls_y").alias("y")).distinct()
 
 
 def _components(sets: DataFrame, buckets: DataFrame) -> DataFrame | None:
     """node, component of the classes that are linked to a smaller one; None if there are none."""
-    component, checked = None, []
+    component, others = None, None
     known = materialize(_known(sets), "known")
+    pivots = materialize(_pivot_pairs(buckets), "pivots")
     for turn in range(ROUNDS + 1):
-        mixed = _mixed(buckets, component)
-        pairs = _pivot_pairs(mixed, turn) if turn < ROUNDS else _remaining_pairs(mixed, component, known)
-        if checked:
-            pairs = pairs.join(functools.reduce(DataFrame.unionByName, checked), ["x", "y"], "left_anti")
+        if turn < ROUNDS:
+            pairs = _apart(pivots.where(F.col("turn") == turn).select("x", "y"), component)
+        else:
+            others = materialize(_others(buckets, component), "others")
+            # pivots' pairs are checked, or in one component
+            pairs = _remaining_pairs(others, component, known).join(pivots.select("x", "y"), ["x", "y"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             discard(pairs)
             continue
-        checked.append(pairs)
         found = _links(sets, known, pairs)
+        discard(pairs)
         if not found.isEmpty():
             # components so far stand for the links that made them
             edges = found if component is None else found.unionByName(component.select(F.col("node").alias("x"), F.col("component").alias("y")))
             component = contract(edges, "x", "y")
         discard(found)
-    discard(known, *checked)
+    discard(known, pivots, others)
     return component
 
 

@@ -111,3 +111,19 @@ def test_filters_lose_nothing():
             assert S.may_reach(*map(np.int64, (len(a), i, len(np.intersect1d(p[:i], q)), len(b), j, len(np.intersect1d(q[:j], p)))))
         apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(S._parities(a, S.RANGES), S._parities(b, S.RANGES)))
         assert 180 * apart <= 20 * (len(a) + len(b))
+
+
+def test_buckets_and_sets_move_seldom(spark, monkeypatch):
+    """Sets are found without a shuffle, the pivots of all rounds with the buckets' one and that of the pairs."""
+    moved, write = [], S.materialize
+
+    def counted(df, label):
+        moved.append((label, str(df._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning")))
+        return write(df, label)
+
+    monkeypatch.setattr(S, "materialize", counted)
+    rows = corpus()
+    got = S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {r[0] for r in rows}
+    assert [n for label, n in moved if label == "paired"] and not any(n for label, n in moved if label == "paired")
+    assert [n for label, n in moved if label == "pivots"] == [2] and [n for label, n in moved if label == "others"][0] <= 3
