@@ -23,6 +23,7 @@ text longer than a shard's share makes a shard of its own.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from cladescope.llm.common import lean, materialize
 
-#: Ids after which a shard is closed, and pieces that a process keeps encoded.
-SHARD_IDS, CACHE = 1 << 18, 400_000
+#: Ids after which a shard is closed, and pieces that a process keeps encoded (with a batch's words a dict of 2**20 places).
+SHARD_IDS, CACHE = 1 << 18, 640_000
 #: Set bits between two entries of the select directory.
 STEP = 256
 HEADER = struct.Struct("<4sIQQB3xII")  # magic, version, documents, ids, low bits, bytes of low bits, bytes of high bits
@@ -260,7 +261,10 @@ class PieceEncoder(dict):
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    """The process's encoder; collections of garbage, of which every task of ``lean`` has one, don't go through its words."""
+    made = PieceEncoder(path)
+    gc.freeze()
+    return made
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 2, label: str = "id-shards") -> DataFrame:

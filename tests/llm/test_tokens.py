@@ -118,3 +118,16 @@ def test_character_map_walk_equals_the_library(rule):
         normal, back = ours(text.encode())
         assert normal.decode() == library.normalize(text)
         assert len(back) == len(normal) + 1 and (np.diff(back) >= 0).all()
+
+
+def test_collections_skip_the_encoder():
+    """Many words are kept, and aren't gone through by each collection of garbage."""
+    import gc
+
+    made = id_shards.encoder.__wrapped__(tokenizer_path("byte_bpe_50k.json"))
+    assert not any(x is made for x in gc.get_objects())
+    words = [f"w{i}" for i in range(550_000)]
+    end = b"\2\0\0\0"
+    made.encode([" ".join(words)], end)
+    made.encode(["a b"], end)
+    assert len(made) >= 550_000 - 1 and not made.older
