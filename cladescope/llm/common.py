@@ -18,18 +18,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
-#: Rows with long texts or sets go to Python in batches of this size.
-_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+#: Rows with long texts or sets go to Python in batches of this size, and are read so many at once.
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Writers hold row groups of this many bytes, and no least and largest values of columns; long values (see ``_long``) have no
+#: dictionary, for which they would be copied. A Java process keeps the heap that it once took.
+_WRITTEN = {"parquet.block.size": 16 << 20, "parquet.column.statistics.enabled": "false"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; the session's Arrow batches are bounded from here on."""
-    spark.conf.set(*_BATCH)
+    """A table of the folder; the session's batches are bounded from here on."""
+    for k, v in _BATCH.items():
+        spark.conf.set(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: While a table is written: a finished query's shuffle files go at once, and Arrow batches of long rows stay small.
-_WHILE = dict([("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), _BATCH])
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **_BATCH}
+
+
+def _long(df: DataFrame) -> list[str]:
+    """Columns of long values that hardly recur: texts and packed sets."""
+    return [name for name, kind in df.dtypes if kind == "binary" or name == "text"]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -45,7 +54,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     for k, v in _WHILE.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**_WRITTEN, **{f"parquet.enable.dictionary#{name}": "false" for name in _long(df)}).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -61,3 +61,20 @@ def test_stages_on_odd_rows(spark, tmp_path):
         if name == "ngram_jaccard_join":  # the two equal rows and the nearly equal one are a group
             assert sorted((r.doc_id or 0) for r in got) == [1, 2, 3, 4, 6, 7]
         assert stage(spark, docs.limit(0), D).count() == 0, name
+
+
+def test_written_tables_do_not_copy_long_values(spark):
+    """Texts and packed sets have no dictionary, columns no least and largest values; other columns keep their dictionary."""
+    import pyarrow.parquet as pq
+
+    from cladescope.llm.common import discard, materialize
+
+    docs = spark.createDataFrame([(k, f"text {k % 3}", "a", bytearray(b"x" * 50)) for k in range(40)], "doc_id long, text string, source string, packed binary")
+    table = materialize(docs.coalesce(1), "long")
+    assert table.exceptAll(docs).isEmpty() and docs.exceptAll(table).isEmpty()
+    part = next(f for f in table.inputFiles())
+    group = pq.ParquetFile(part.removeprefix("file://")).metadata.row_group(0)
+    columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+    assert {k: c.has_dictionary_page for k, c in columns.items() if k != "doc_id"} == {"text": False, "source": True, "packed": False}
+    assert not any(c.is_stats_set and c.statistics.has_min_max for c in columns.values())
+    discard(table)
