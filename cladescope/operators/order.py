@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladescope.operators.numbering import numbered
+
 _CONTIG = ("strain", "contig")
 
 
@@ -19,6 +21,17 @@ def synteny_neighbours(order: DataFrame, size: int = 8) -> DataFrame:
     return order.select("gene", F.array_remove(F.collect_list("gene").over(_along(-k, k - 1)), F.col("gene")).alias("neighbours"))
 
 
+def places(order: DataFrame, gap: int = 8) -> DataFrame:
+    """gene, place: one row of numbers for all contigs, with ``gap`` free places before each.
+
+    Genes of an unknown contig have no place.
+    """
+    known = order.select(*_CONTIG, "pos", "gene").where("strain is not null and contig is not null and gene is not null")
+    free = known.groupBy(*_CONTIG).agg(F.min("pos").alias("first"))
+    free = free.select(*_CONTIG, F.explode(F.sequence(F.col("first") - gap, F.col("first") - 1)).alias("pos"), F.lit(None).cast(known.schema["gene"].dataType).alias("gene"))
+    return numbered(known.unionByName(free), [*_CONTIG, "pos"], "place").where("gene is not null").select("gene", "place")
+
+
 def proximity(order: DataFrame, most: int = 2) -> DataFrame:
     """g1 < g2, distance: genes up to ``most`` places apart on a contig; no join."""
     near = order.withColumn("next", F.collect_list("gene").over(_along(1, most))).select("gene", F.posexplode("next").alias("i", "other"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladescope.functions import sql as sql_functions
-from cladescope.operators import families, hits, islands, order, reports, scores, tree
+from cladescope.operators import families, hits, islands, order, reports, scores, tiles, tree
 from cladescope.plans import adapters as A
 from cladescope.plans.registry import query
 from cladescope.sources import scores as score_files
@@ -333,11 +333,11 @@ def _greedy_sql(take: int) -> str:
  c0 AS (SELECT e.g1, e.g2, n1.i, n2.i AS j, b.raw_sc FROM e JOIN n n1 ON n1.gene = e.g1 JOIN n n2 ON n2.gene = e.g2 JOIN b ON b.x = n1.x AND b.y = n2.x), {_greedy_sql(3)}
  SELECT e.g1, e.g2, round(coalesce(s.syn_sc, 0.0::DOUBLE), 9) AS syn_sc FROM e LEFT JOIN s USING (g1, g2)""")
 def synteny_scores(spark, d):
-    o = A.part_order(spark, d)
-    edges = hits.edges(hits.filter_hits(A.hits(spark, d)))
-    runs = o.select("gene", F.xxhash64("strain", "contig", F.floor(F.col("pos") / 8)).alias("run"))
-    found = scores.synteny_scores(edges, order.synteny_neighbours(o, 8), edges.withColumn("raw_sc", F.col("raw_sc").cast("double")), runs=runs)
-    return found.withColumn("syn_sc", F.round("syn_sc", 9))
+    # few partitions of the session would make large tasks of many lines
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.order_lines(spark, d).rdd.getNumPartitions())
+    found = hits.filter_hits(A.placed_hits(spark, d, order.places(A.part_order(spark, d)), parts, 4))
+    scored = tiles.synteny_scores(found.withColumnRenamed("score", "raw_sc"), parts, 8)
+    return scored.withColumn("syn_sc", F.round("syn_sc", 9))
 
 
 @query("SELECT lf, gene FROM (SELECT l_suppkey AS lf, l_partkey AS gene, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(l_partkey::VARCHAR), l_partkey) AS r FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE r <= 4")

@@ -5,8 +5,11 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from cladescope import streaming
 from cladescope.functions.reconcile import Costs
-from cladescope.operators import families, graph, hits, islands, order, refine, reports, scores, tree
+from cladescope.operators import families, graph, hits, islands, order, refine, reports, scores, tiles, tree
 from cladescope.plans import adapters as A
 from cladescope.plans import registry
 
@@ -321,3 +324,67 @@ def test_histories_equal_the_table_function(spark):
     mine = families.histories(small, registry.SPECIES, most=3)
     assert mine.columns == its.columns and mine.count() == its.count() > 100
     assert mine.exceptAll(its).isEmpty()
+
+
+def _shuffled_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_synteny_scores_shuffle_little(spark):
+    """The disk holds what is shuffled: lines twice and packed pairs once, less than four times the input."""
+    before = _shuffled_bytes(spark)
+    __spark_entry__.queries()["synteny_scores"](spark, SMALL).write.format("noop").mode("overwrite").save()
+    time.sleep(1)
+    assert 0 < _shuffled_bytes(spark) - before < 4 * os.path.getsize(f"{SMALL}/lineitem.parquet")
+
+
+def test_synteny_scores_of_odd_lines_equal_their_sql(spark, tmp_path):
+    """Contigs over several tiles, repeated parts in an order, nulls, parts without a contig and parts that aren't listed."""
+    import duckdb
+
+    con, d = duckdb.connect(), tmp_path / "odd"
+    d.mkdir()
+    con.execute("create table part as select k::BIGINT as p_partkey, case when k % 97 = 5 then null else 'b' || (k % 3) end as p_brand from range(9000) r(k)")
+    con.execute("""create table lineitem as select case when h % 53 = 0 then null else (k // 5)::BIGINT end as l_orderkey,
+      case when h % 59 = 0 then null when h % 61 = 0 then -h % 50 when k % 5 = 4 and h % 7 = 0 then base else (base + [0, 12, 4021, 4033, 24][k % 5 + 1] + 12 * (h % 3)) % 9300 end::BIGINT as l_partkey,
+      case when h % 31 = 0 then null else (20 + h % 30)::DOUBLE end as l_quantity
+      from (select k, hash(k // 5) % 9300 // 4 as base, (hash(k * 3 + 1) % 1000003)::BIGINT as h from range(60000) r(k))""")
+    for x in ("part", "lineitem"):
+        con.execute(f"copy {x} to '{d}/{x}.parquet' (format parquet)")
+    its = con.execute(registry.oracle_sql()["synteny_scores"]).fetchdf().sort_values(["g1", "g2"])
+    mine = registry.queries()["synteny_scores"](spark, str(d)).toPandas().sort_values(["g1", "g2"])
+    assert mine[["g1", "g2"]].values.tolist() == its[["g1", "g2"]].values.tolist()
+    assert mine.syn_sc.values == pytest.approx(its.syn_sc.values, abs=2e-9) and (mine.syn_sc > 0).mean() > 0.1
+    none = spark.read.parquet(f"{d}/lineitem.parquet").limit(0)
+    none.write.parquet(str(tmp_path / "empty/lineitem.parquet"))
+    con.execute(f"copy part to '{tmp_path}/empty/part.parquet' (format parquet)")
+    assert registry.queries()["synteny_scores"](spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_tiles_keep_every_pair():
+    rng = np.random.default_rng(5)
+    n, ends = 3000, [-(2**63), 2**63 - 1, 0, -1]
+    c = {x: np.sort(rng.choice([*ends, *rng.integers(-(2**40), 2**40, 50)], n)) if x == "g1" else rng.integers(-(2**62), 2**62, n) for x in tiles._PAIR}
+    assert (tiles._unpack(n, pa.py_buffer(tiles._pack(c))) == [c[x] for x in tiles._PAIR]).all()
+    # a pair and all that it sees are in its bucket
+    size, buckets = 4 * tiles.SIDE, 97
+    p = rng.integers(8, size, (2, 20000))
+    at = lambda p1, p2: dict(zip(tiles._PAIR, (p1, p2, p1, p2)))
+    rows, found = tiles._seen(at(*p), 4, buckets)
+    assert len(set(zip(rows, found))) == len(rows)
+    sent = set(zip(*p[:, rows], found))
+    seen = p + rng.integers(-3, 5, p.shape)
+    home = tiles._home(*seen, *seen, buckets)
+    assert set(zip(*p, home)) <= sent and len(rows) < 1.1 * p.shape[1]
+
+
+def test_greedy_choice_of_many_pairs():
+    rng = np.random.default_rng(6)
+    rows = np.unique(rng.integers(0, [50, 7, 7], (900, 3)), axis=0)
+    pair, x, y = rows.T
+    score = rng.integers(1, 4, len(rows)) / 2.0
+    want = [scores.greedy_matching([(s, i, j) for k, i, j, s in zip(pair, x, y, score) if k == n], 3) for n in range(51)]
+    assert tiles._greedy(pair, score, x, y, 51, 3).tolist() == want
